@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import mixing, packing, page_shapes, splitting, term_counts, visual_form
+from quillgraph.llm import mixing, packing, page_shapes, scan_repair, splitting, term_counts, visual_form
 from quillgraph.plans.shared import table
 
 
@@ -21,6 +21,14 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.marked().select(F.col("term").alias("keyword"), "occurrences", "documents", F.coalesce("mark", F.lit("-")).alias("mark"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.scan_cases(scan_repair.repair(table(spark, sf_dir, "documents")))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.repair(table(spark, sf_dir, "documents")).select("doc_id", "text", F.size("cases").alias("n_cases"))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized_pieces(*(table(spark, sf_dir, t) for t in ("documents", "headings", "split_limits")))
 
@@ -60,6 +68,8 @@ def p8_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
