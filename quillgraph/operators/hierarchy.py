@@ -100,7 +100,7 @@ def _square(links: DataFrame, with_paths: bool) -> DataFrame:
     done, open_, before = None, materialize(links, "hier-square"), -1
     while True:
         keys = open_.select(F.col("item").alias("k"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("cyc").alias("cyc2"), *([F.col("path").alias("path2")] if with_paths else []))
-        j = open_.join(keys, open_.anc == keys.k, "left")
+        j = open_.join(keys, F.col("anc") == F.col("k"), "left")
         path = [F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat("path", "path2")).alias("path")] if with_paths else []
         nxt = j.select("item", F.coalesce("anc2", "anc").alias("anc"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), (F.col("cyc") | F.coalesce("cyc2", F.lit(False))).alias("cyc"), *path, F.col("k").isNotNull().alias("moved"))
         nxt = materialize(nxt, "hier-square")
@@ -129,8 +129,8 @@ def resolve_forest(links: DataFrame, with_paths: bool = False, per_task: int = P
             top = local
             break
         levels.append(local)
-        anc = local.where("not cyc").select("anc").distinct()
-        level = materialize(local.join(anc, local.item == anc.anc, "left_semi"), "hier-links")
+        tops = local.where("not cyc").select(F.col("anc").alias("k")).distinct()
+        level = materialize(local.join(tops, F.col("item") == F.col("k"), "left_semi"), "hier-links")
         before, count = count, level.count()
         if count > per_task and count > 0.7 * before:
             top = _square(level, with_paths)
@@ -140,7 +140,7 @@ def resolve_forest(links: DataFrame, with_paths: bool = False, per_task: int = P
             top = local
             continue
         up = top.select(F.col("item").alias("k"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("cyc").alias("cyc2"), *([F.col("path").alias("path2")] if with_paths else []))
-        j = local.join(up, (local.anc == up.k) & ~local.cyc, "left")
+        j = local.join(up, (F.col("anc") == F.col("k")) & ~F.col("cyc"), "left")
         more = [F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat("path", "path2")).alias("path")] if with_paths else []
         top = j.select("item", F.coalesce("anc2", "anc").alias("anc"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), (F.col("cyc") | F.coalesce("cyc2", F.lit(False))).alias("cyc"), *more)
     return level if top is None else top
@@ -173,9 +173,9 @@ def _with_many(links: DataFrame, many: DataFrame, single: DataFrame, with_paths:
     own = F.array("parent")
     s = single.select(F.col("item").alias("k"), "anc", "dist", "cyc", *p)
     path = [F.when(F.col("k").isNull(), own).otherwise(F.concat(own, "path")).alias("path")] if with_paths else []
-    ways = links.join(s, links.parent == F.col("k"), "left").select(F.col("child").alias("item"), "parent", F.coalesce("anc", "parent").alias("anc"), (F.lit(1) + F.coalesce("dist", F.lit(0))).alias("dist"), F.coalesce("cyc", F.lit(False)).alias("cyc"), *path)
+    ways = links.join(s, F.col("parent") == F.col("k"), "left").select(F.col("child").alias("item"), "parent", F.coalesce("anc", "parent").alias("anc"), (F.lit(1) + F.coalesce("dist", F.lit(0))).alias("dist"), F.coalesce("cyc", F.lit(False)).alias("cyc"), *path)
     m = many.select(F.col("child").alias("m"))
-    ways = materialize(ways.join(m, ways.anc == m.m, "left").withColumn("open", F.col("m").isNotNull()).drop("m"), "hier-ways")
+    ways = materialize(ways.join(m, F.col("anc") == F.col("m"), "left").withColumn("open", F.col("m").isNotNull()).drop("m"), "hier-ways")
     done = None
     while True:
         # an item is ready when no way up is cyclic or open; its longest way is taken
@@ -186,7 +186,7 @@ def _with_many(links: DataFrame, many: DataFrame, single: DataFrame, with_paths:
             break
         done = ready if done is None else done.unionByName(ready)
         r = ready.select(F.col("item").alias("k"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), *([F.col("path").alias("path2")] if with_paths else []))
-        rest = ways.join(r.select("k"), ways.item == F.col("k"), "left_anti").join(r, ways.anc == F.col("k"), "left")
+        rest = ways.join(ready.select("item"), "item", "left_anti").join(r, F.col("anc") == F.col("k"), "left")
         more = [F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat("path", "path2")).alias("path")] if with_paths else []
         ways = materialize(rest.select("item", "parent", F.coalesce("anc2", "anc").alias("anc"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), "cyc", *more, (F.col("open") & F.col("k").isNull()).alias("open")), "hier-ways")
         if ways.isEmpty():
@@ -195,7 +195,7 @@ def _with_many(links: DataFrame, many: DataFrame, single: DataFrame, with_paths:
     multi = stuck if done is None else stuck.unionByName(done.withColumn("cyc", F.lit(False)))
     multi = materialize(multi, "hier-multi")
     u = multi.select(F.col("item").alias("k"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("cyc").alias("cyc2"), *([F.col("path").alias("path2")] if with_paths else []))
-    j = single.join(u, single.anc == u.k, "left")
+    j = single.join(u, F.col("anc") == F.col("k"), "left")
     more = [F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat("path", "path2")).alias("path")] if with_paths else []
     below = j.select("item", F.coalesce("anc2", "anc").alias("anc"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), (F.col("cyc") | F.coalesce("cyc2", F.lit(False))).alias("cyc"), *more)
     return below.unionByName(multi)
