@@ -30,13 +30,23 @@ def sainte_lague(seats: int, weights: dict, caps: dict | None = None) -> dict:
     """
     caps = caps or {}
     live = {k: Fraction(w).limit_denominator(10**12) for k, w in weights.items() if w > 0}
-    total = sum(live.values())
     held = dict.fromkeys(weights, 0)
     if not live or seats <= 0:
         return held
-    # whole quotas but a few can be given at once: the highest-quotient order fills them first
-    for k, w in live.items():
-        held[k] = max(0, min(caps.get(k, seats), int(seats * w / total) - len(live)))
+    # keys that reach their cap leave the rest of the seats to the others
+    free, open_ = seats, dict(live)
+    while open_:
+        weight = sum(open_.values())
+        full = [k for k in open_ if k in caps and free * open_[k] / weight - len(live) >= caps[k]]
+        if not full:
+            break
+        for k in full:
+            held[k] = caps[k]
+            free -= caps[k]
+            del open_[k]
+    # whole quotas but a few can be given at once: the order of quotients fills them first
+    for k, w in open_.items():
+        held[k] = max(0, min(caps.get(k, seats), int(free * w / sum(open_.values())) - len(live)))
     heap = [(-w / (2 * held[k] + 1), k) for k, w in live.items() if held[k] < caps.get(k, seats)]
     heapq.heapify(heap)
     left = seats - sum(held.values())
