@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import hierarchy as hi
+from quillgraph.plans import q_terms, q_text
 from quillgraph.plans.shared import table
 
 
@@ -55,3 +56,7 @@ ORACLES: dict[str, str] = {
     "p5_paths": _P5 + "select substr(item, 2) item_id, case when cyclic then '-' else substr(anc, 2) end root_id, cast(case when cyclic then -1 else d end as bigint) link_depth, case when cyclic then '-' else array_to_string(list_transform(path, lambda x: substr(x, 2)), '/') end path from r",
     "p5_descendants": _P5 + ", e as (select item, unnest(path) anc, unnest(range(len(path) - 1, -1, -1)) dist from r where not cyclic) select substr(anc, 2) ancestor_id, count(*) n_descendants, max(dist) height from e where dist > 0 group by 1",
 }
+
+for _part in (q_text, q_terms):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
