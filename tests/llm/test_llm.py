@@ -117,6 +117,13 @@ def test_page_repair(model):
     assert scan_repair.Page("\n \n\f", know, p, frozenset()).paragraphs == []
 
 
+def test_long_runs_are_kept(model):
+    p, know, _ = model
+    blob = "c1f05l" * 20_000
+    page = scan_repair.Page(f"the catalytic tcmperature\n{blob} remains.\n", know, p, frozenset())
+    assert page.cases() == [(1, "misread")] and blob in page.paragraphs[0]
+
+
 def test_repair_rare_words_same_result(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = {r["doc_id"]: r for r in scan_repair.repair(docs).collect()}
