@@ -87,11 +87,11 @@ def decode_base64_text(c: Column) -> Column:
 
 def fix_mojibake(c: Column) -> Column:
     """UTF-8 that was read as Latin-1, read again, if at least three characters are above ASCII, none above
-    U+00FF, and reading again leaves less than half of them."""
+    U+00FF, and reading again leaves less than half as many of that range."""
     narrow = ~c.rlike(r"[^\x{00}-\x{FF}]")
     high = F.regexp_count(c, F.lit(r"[\x{80}-\x{FF}]"))
     again = F.encode(F.when(narrow & (high >= 3), c), "ISO-8859-1").cast("string")
-    left = F.regexp_count(F.when(F.is_valid_utf8(again), again), F.lit(r"[^\x{00}-\x{7F}]"))
+    left = F.regexp_count(F.when(F.is_valid_utf8(again), again), F.lit(r"[\x{80}-\x{FF}]"))
     return F.when(left < high * 0.5, again).otherwise(c)
 
 

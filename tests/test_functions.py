@@ -44,7 +44,7 @@ def test_splitters(spark):
 
 def test_cleaning(spark):
     assert one(spark, "概率模型概率模型概率模型概率模型 我们我们 testtest", tx.fold_ghosts(F.col("a")))[0] == "概率模型 我们我们 test"
-    assert one(spark, "déjà vu été".encode().decode("latin-1"), tx.fix_mojibake(F.col("a")))[0] == "déjà vu été"
+    assert one(spark, "光学 law".encode().decode("latin-1"), tx.fix_mojibake(F.col("a")))[0] == "光学 law"
     assert one(spark, "déjà vu", tx.fix_mojibake(F.col("a")))[0] == "déjà vu"
     assert one(spark, "aGVsbG8gd29ybGQh", tx.decode_base64_text(F.col("a")))[0] == "hello world!"
     assert one(spark, "not base64, surely", tx.decode_base64_text(F.col("a")))[0] == "not base64, surely"
