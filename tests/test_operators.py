@@ -127,7 +127,14 @@ def test_store_keeps_generations(spark, tmp_path):
         s.load("../x")
 
 
-def test_merge_and_links_run(spark):
+def test_communities(spark):
+    n = nodes(spark, *"abcxyz")
+    rows = [(p, q, "related", 1.0) for t in ("abc", "xyz") for p, q in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2]))]
+    got = {r["node_id"]: r["community"] for r in g.label_propagation(g.adjacency(edges(spark, *rows), n), n).collect()}
+    assert got == {**dict.fromkeys("abc", "a"), **dict.fromkeys("xyz", "x")}
+
+
+def test_stats_of_an_empty_graph(spark):
     assert g.stats(nodes(spark).withColumn("node_type", F.lit("x")), edges(spark)).count() == 0
 
 
