@@ -53,6 +53,11 @@ def strip_marks(c: Column) -> Column:
     return F.regexp_replace(c, r"\[fs\d+(?:\.\d+)?\]|\[bookmark:L\d+\]", "")
 
 
+def strip_font_mark(c: Column) -> Column:
+    """A line without the font mark it begins with; bookmark marks stay."""
+    return F.regexp_replace(c, rf"^{WS}*\[fs\d+(?:\.\d+)?\]{WS}*", "")
+
+
 def escape_html(c: Column, quotes: bool = False) -> Column:
     out = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.replace(F.replace(out, F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#39;")) if quotes else out

@@ -107,7 +107,9 @@ def mojibake(spark, d):
 
 
 def _lines(spark, d):
-    return table(spark, d, "documents").where("raw_text is not null").select("doc_id", F.posexplode(F.split("raw_text", "\n")).alias("line_no", "line"))
+    """Lines of every raw text without the font mark they begin with."""
+    l = table(spark, d, "documents").where("raw_text is not null").select("doc_id", F.posexplode(F.split("raw_text", "\n")).alias("line_no", "line"))
+    return l.withColumn("line", tx.strip_font_mark(F.col("line")))
 
 
 def line_kinds(spark, d):

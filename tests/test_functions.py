@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import similarity as sim
 from quillgraph.functions import text as tx
 from quillgraph.functions import tokens as tk
+from quillgraph.plans import q_text
 
 
 def one(spark, value, *cols):
@@ -71,3 +72,11 @@ def test_heading_forms(spark):
         form = tx.heading_form(F.col("a"))
         got = one(spark, line, form["kind"], tx.heading_level(form))
         assert tuple(got) == (kind, level)
+
+
+def test_marked_heading_lines(spark, tmp_path):
+    raw = "[fs18]7.1 sedimentary projection\n[fs9.5] x\n7.2 heat\n[bookmark:L0]Heat\n[fs12]12"
+    spark.createDataFrame([(1, raw)], "doc_id bigint, raw_text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["line_no"]: (r["kind"], r["title"], r["level"]) for r in q_text.heading_lines(spark, str(tmp_path)).collect()}
+    assert got == {0: ("section", "sedimentary projection", 2), 2: ("section", "heat", 2), 3: ("bookmark", "Heat", 1)}
+    assert [r["line_no"] for r in q_text.line_kinds(spark, str(tmp_path)).where("page_number").collect()] == [4]
