@@ -15,7 +15,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
-from math import log2
+from math import ceil, log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -422,22 +422,26 @@ def clean_counts(documents: DataFrame, flush: int = 300_000) -> DataFrame:
 _CONCERNED_RUN = re.compile(r"[^\s]+")
 
 
-def edge_notices(scans: DataFrame, least_documents: int = 5, top: int = 1000) -> frozenset[str]:
+def edge_notices(scans: DataFrame, least_share: float = 0.01) -> frozenset[str]:
     """Lines, folded, that stand at the edges of marked pages of several documents and hardly anywhere else.
 
-    Counted over all scanned texts; the `top` lines of most documents are kept as a bounded set. Further
-    ones still count as furniture by repetition within their document.
+    Counted over all scanned texts. A notice stands in two documents and in `least_share` of the texts with
+    marked pages at least, however many there are, so no more than the mean number of edge lines of a text
+    divided by that share can be notices, and all are kept. A line that in half of its documents stands only
+    among the first two lines is a title. Others still count as furniture by repetition within their document.
     """
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = Counter()
+            rows, marked = Counter(), 0
             for t in pdf["raw_text"]:
                 ls = t.split("\n")
                 if not any(MARK.match(s.strip()) or s.startswith("\f") for s in ls):
                     continue  # where pages end isn't known
                 solid = [i for i, s in enumerate(ls) if s.strip() and not MARK.match(s.strip())]
-                edge = {*solid[:2], *solid[-2:]}
+                marked += 1
+                opening = solid[:2]
+                edge = {*opening, *solid[-2:]}
                 for i, s in enumerate(ls):
                     if MARK.match(s.strip()) or s.startswith("\f"):
                         edge |= {i, i + 1, i + 2, i - 1, i - 2}
@@ -446,12 +450,18 @@ def edge_notices(scans: DataFrame, least_documents: int = 5, top: int = 1000) ->
                     s = re.sub(r"^\d+\s{2,}|\s{2,}\S{1,4}$", "", ls[i].strip())
                     if 3 < len(s) <= 40 and page_number(s) is None and not re.search(r"\d|[.。，,:：?？!]", s):
                         k = fold(s)
-                        seen[k] = max(seen.get(k, 0), 1 if i in edge else 2)
+                        seen[k] = max(seen.get(k, 0), 0 if i in opening else 1 if i in edge else 2)
                 rows.update((k, v) for k, v in seen.items())
-            yield pd.DataFrame([(k, n if v == 1 else 0, n if v == 2 else 0) for (k, v), n in rows.items()], columns=["key", "edge", "inner"])
-
-    got = scans.select("raw_text").mapInPandas(lines, "key string, edge bigint, inner bigint").groupBy("key").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner"))
-    rows = got.where(f"edge >= {int(least_documents)} and edge >= 0.9 * (edge + inner)").orderBy(F.desc("edge"), "key").limit(top).collect()
+            # the texts with marked pages are counted under no key
+            out = [(None, marked, 0, 0)] + [(k, n if v < 2 else 0, n if v == 2 else 0, n if v == 0 else 0) for (k, v), n in rows.items()]
+            yield pd.DataFrame(out, columns=["key", "edge", "inner", "opening"])
+
+    counts = "edge", "inner", "opening"
+    got = scans.select("raw_text").mapInPandas(lines, "key string, edge bigint, inner bigint, opening bigint").groupBy("key").agg(*[F.sum(c).alias(c) for c in counts])
+    got = materialize(got, "scan-edges")
+    marked = got.where("key is null").select("edge").first()
+    least = max(2, ceil(least_share * marked["edge"])) if marked else 2
+    rows = got.where(f"key is not null and edge >= {least} and edge >= 0.9 * (edge + inner) and opening < 0.5 * edge").select("key").collect()
     return frozenset(r["key"] for r in rows)
 
 

@@ -67,6 +67,18 @@ def test_furniture_by_position():
     assert kinds == {0: "page_number", 7: "header", 9: "page_number", 11: "header"}
 
 
+def test_notices_do_not_depend_on_size(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"]
+    name = lambda k: " ".join(words[k // 7**j % 7] for j in range(4))
+    page = lambda k, top, end: f"{top}\nBody of the text, first.\nSecond line, going on.\nThird line.\n--- 第2页 ---\nNext, first.\nNext, second.\nNext, third.\n{end}"
+    few = [page(k, f"title {name(k)}", "reading room copy" if k < 2 else "The end, really.") for k in range(6)]
+    # titles of five documents each; a notice in one of forty
+    many = [page(k, f"title {name(k // 6)}" if k % 6 else "An opening, other.", "not for resale" if k % 40 == 0 else "The end, really.") for k in range(1200)]
+    notices = lambda texts: scan_repair.edge_notices(spark.createDataFrame([(t,) for t in texts], "raw_text string"))
+    assert notices(few) == {page_furniture.fold("reading room copy")}
+    assert notices(many) == {page_furniture.fold("not for resale")}
+
+
 def test_roman_and_misread_numbers():
     assert page_furniture.page_number("xxxiv")[1] == [("r", 34)]
     assert ("a", 322) in page_furniture.page_number("3Z2")[1]
