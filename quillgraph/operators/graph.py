@@ -151,19 +151,32 @@ def shortest_path(adj: DataFrame, a: str, b: str, most: int = 50) -> list[str] |
     return path[::-1]
 
 
-def label_propagation(adj: DataFrame, nodes: DataFrame, iterations: int = 10) -> DataFrame:
-    """node_id, community: every round a node takes the label of greatest weight around it, ties to the smallest;
-    its own label counts with the least weight. Deterministic; ends when nothing changes."""
-    both = materialize(adj.select("src", "dst", "weight").unionByName(adj.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("w")), "lpa-links")
+def label_propagation(adj: DataFrame, nodes: DataFrame, iterations: int = 50) -> DataFrame:
+    """node_id, community: every round a node takes the label of greatest weight around it, ties to the smallest; a
+    node without links keeps its own. An undirected edge, which adj holds both ways, counts once.
+
+    The nodes move in two halves, drawn anew every round by a hash; the second sees the labels of the first, so
+    neighbours do not exchange labels for ever. Deterministic; ends when a round changes nothing. A community is
+    named by its smallest node.
+    """
+    w = F.when(F.col("edge_type").isin(UNDIRECTED), F.col("weight") / 2).otherwise(F.col("weight"))
+    one = adj.where("src <> dst").select("src", "dst", w.alias("w"))
+    both = materialize(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")), "lpa-links")
     label = nodes.select("node_id").distinct().withColumn("community", F.col("node_id"))
-    for _ in range(iterations):
-        votes = both.join(label, F.col("dst") == F.col("node_id")).groupBy("src", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b")).select("src", F.col("b.community").alias("new"))
-        nxt = materialize(label.join(best, F.col("node_id") == F.col("src"), "left").select("node_id", F.least("community", F.coalesce("new", "community")).alias("community"), (F.least("community", F.coalesce("new", "community")) != F.col("community")).alias("moved")), "lpa")
-        label = nxt.select("node_id", "community")
-        if nxt.where("moved").isEmpty():
+    for k in range(iterations):
+        still = True
+        for half in (0, 1):
+            turn = both.where(F.pmod(F.xxhash64(F.lit(k), "src"), F.lit(2)) == half)
+            votes = turn.join(label, F.col("dst") == F.col("node_id")).groupBy("src", "community").agg(F.round(F.sum("w"), 9).alias("w"))
+            best = votes.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b")).select("src", F.col("b.community").alias("new"))
+            new = F.coalesce("new", "community")
+            nxt = materialize(label.join(best, F.col("node_id") == F.col("src"), "left").select("node_id", new.alias("community"), (new != F.col("community")).alias("moved")), "lpa")
+            label = nxt.select("node_id", "community")
+            still = still and nxt.where("moved").isEmpty()
+        if still:
             break
-    return label
+    name = label.groupBy("community").agg(F.min("node_id").alias("name"))
+    return label.join(name, "community").select("node_id", F.col("name").alias("community"))
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

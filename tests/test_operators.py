@@ -134,6 +134,23 @@ def test_communities(spark):
     assert got == {**dict.fromkeys("abc", "a"), **dict.fromkeys("xyz", "x")}
 
 
+def test_community_of_the_heavier_larger_label(spark):
+    n = nodes(spark, *"abcdxyz")
+    rows = [(p, q, "related", 5.0) for p, q in ("xy", "xz", "yz")] + [("a", "x", "related", 2.0), ("a", "y", "related", 2.0), ("a", "b", "related", 1.0), ("b", "c", "related", 5.0), ("b", "d", "related", 5.0), ("c", "d", "related", 5.0)]
+    got = {r["node_id"]: r["community"] for r in g.label_propagation(g.adjacency(edges(spark, *rows), n), n).collect()}
+    assert got["a"] == got["x"] == got["y"] == got["z"] != got["b"] == got["c"] == got["d"]
+
+
+def test_communities_end_where_no_node_wants_to_move(spark):
+    ids = [f"n{k:02d}" for k in range(30)]
+    n = nodes(spark, *ids)
+    # heavy links make one group of a chain of 15 nodes, a directed and an undirected link weigh the same
+    rows = [(a, b, "related", 1.0) for a, b in zip(ids[:15], ids[1:15])] + [("n20", "n21", "related", 1.0), ("n20", "n22", "cite", 1.5)]
+    got = {r["node_id"]: r["community"] for r in g.label_propagation(g.adjacency(edges(spark, *rows), n), n).collect()}
+    assert len({got[i] for i in ids[:15]}) == 1
+    assert got["n20"] == got["n22"] and all(got[i] == i for i in ids[23:])
+
+
 def test_stats_of_an_empty_graph(spark):
     assert g.stats(nodes(spark).withColumn("node_type", F.lit("x")), edges(spark)).count() == 0
 
