@@ -5,6 +5,8 @@ Offsets and lengths count code points. A null input gives null unless said other
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,12 @@ def strip_font_mark(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}*\[fs\d+(?:\.\d+)?\]{WS}*", "")
 
 
+def line_starts(c: Column) -> Column:
+    """Offset of the first character of every line that has one; prefix sums of a long text need one pass, hence Python."""
+    starts = lambda t: [m.start() for m in re.finditer(r"(?<![^\n])[^\n]", t)]
+    return F.pandas_udf(lambda s: s.map(starts, na_action="ignore"), "array<bigint>")(c)
+
+
 def escape_html(c: Column, quotes: bool = False) -> Column:
     out = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.replace(F.replace(out, F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#39;")) if quotes else out

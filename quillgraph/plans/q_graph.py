@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import text as tx
 from quillgraph.functions import tokens as tk
 from quillgraph.operators import graph as g
 from quillgraph.operators import hierarchy as hi
@@ -83,10 +84,13 @@ def heading_tree(spark, d):
 
 
 def heading_of_offset(spark, d):
-    """Deepest heading at every 500th character of every raw text."""
-    docs = table(spark, d, "documents").where("length(raw_text) > 0")
+    """Deepest heading at the start of every line of every raw text, at every bound of a heading, where alone the
+    answer can change, and at every 500th character, where the SQL asks."""
+    docs, h = table(spark, d, "documents").where("length(raw_text) > 0"), _heads(spark, d)
     points = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.length("raw_text").cast("bigint") - 1, F.lit(500).cast("bigint"))).alias("pos"))
-    return g.heading_at(points, _heads(spark, d))
+    lines = docs.select("doc_id", F.explode(tx.line_starts(F.col("raw_text"))).alias("pos"))
+    bounds = h.select("doc_id", F.explode(F.array("start_pos", "end_pos")).alias("pos")).join(docs.select("doc_id", F.length("raw_text").alias("n")), "doc_id").where("0 <= pos and pos < n").select("doc_id", "pos")
+    return g.heading_at(points.unionByName(lines).unionByName(bounds).distinct(), h)
 
 
 def sections(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import graph as g
 from quillgraph.operators import matching as mt
 from quillgraph.operators import terms as tm
-from quillgraph.plans import catalog
+from quillgraph.plans import catalog, q_graph
 from quillgraph.sources import documents as src
 from quillgraph.streaming import rate_limit as rl
 
@@ -162,3 +162,12 @@ def test_catalog_names_match():
 def test_flagship(spark):
     df = catalog.flagship(spark, SF)
     assert df.columns == ["query_id", "doc_id", "rank", "keyword", "tfidf", "semantic", "score"] and df.count() > 0
+
+
+def test_headings_between_strides(spark, tmp_path):
+    raw = "# a\ntext\n## b\nmore\n# c\nend"
+    spark.createDataFrame([(1, raw), (2, ""), (3, None)], "doc_id bigint, raw_text string").write.parquet(f"{tmp_path}/documents.parquet")
+    heads = [("a", 1, 1, 0, 19), ("b", 1, 2, 9, 19), ("c", 1, 1, 19, 26), ("far", 1, 1, 500, 900)]
+    spark.createDataFrame([(*h, [], dt(2024, 1, 1)) for h in heads], "heading_id string, doc_id bigint, heading_level int, start_pos bigint, end_pos bigint, children array<string>, ingested_at timestamp_ntz").write.parquet(f"{tmp_path}/headings.parquet")
+    got = {r["pos"]: r["heading_id"] for r in q_graph.heading_of_offset(spark, str(tmp_path)).collect()}
+    assert got == {0: "a", 4: "a", 9: "b", 14: "b", 19: "c", 23: "c"}
