@@ -18,7 +18,7 @@ from itertools import combinations
 from math import ceil, log2
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.page_furniture import MARK, fold, furniture, page_number
@@ -385,8 +385,16 @@ def looks_scanned(text: str) -> bool:
     return len(full) >= 3 and lengths[-1] <= 1.35 * width + 2 and broken >= 0.6 * len(full)
 
 
+#: Types of documents that can be scans where is_scanned is null.
+PAGE_TYPE = "doc_type in ('pdf', 'image')"
+
+
+def _looks_scanned(c: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(looks_scanned), "boolean")(c)
+
+
 def clean_counts(documents: DataFrame, flush: int = 300_000) -> DataFrame:
-    """kind (word or pair), key, n over the texts of all documents that are no scans.
+    """kind (word or pair), key, n over the texts of all documents that are no scans, by the test of scanned().
 
     Counted per partition in passing and summed once; memory is bounded by flushing partial counts.
     """
@@ -415,7 +423,10 @@ def clean_counts(documents: DataFrame, flush: int = 300_000) -> DataFrame:
                     yield take()
         yield take()
 
-    clean = documents.where("text is not null and (is_scanned = false or raw_text is null)").select("text")
+    d = documents.where("text is not null")
+    unsure = f"is_scanned is null and raw_text <> '' and {PAGE_TYPE}"
+    clean = d.where(f"is_scanned = false or raw_text is null or is_scanned is null and not coalesce({unsure}, false)").select("text")
+    clean = clean.unionByName(d.where(unsure).where(~_looks_scanned(F.col("raw_text"))).select("text"))
     return clean.mapInPandas(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -468,10 +479,9 @@ def edge_notices(scans: DataFrame, least_share: float = 0.01) -> frozenset[str]:
 def scanned(documents: DataFrame) -> DataFrame:
     """doc_id, raw_text of scanned texts: is_scanned true, or null for a page type whose lines are set to a width."""
     d = documents.where("doc_id is not null and raw_text is not null and raw_text <> ''")
-    unsure = F.pandas_udf(lambda s: s.map(looks_scanned), "boolean")
     sure = d.where("is_scanned").select("doc_id", "raw_text")
-    maybe = d.where("is_scanned is null and doc_type in ('pdf', 'image')").select("doc_id", "raw_text")
-    return sure.unionByName(maybe.where(unsure("raw_text")))
+    maybe = d.where(f"is_scanned is null and {PAGE_TYPE}").select("doc_id", "raw_text")
+    return sure.unionByName(maybe.where(_looks_scanned(F.col("raw_text"))))
 
 
 def repair(documents: DataFrame, cache_words: int = 200_000, sample_lines: int = 4000, seed: int = 7) -> DataFrame:

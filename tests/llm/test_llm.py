@@ -79,6 +79,15 @@ def test_notices_do_not_depend_on_size(spark):
     assert notices(many) == {page_furniture.fold("not for resale")}
 
 
+def test_counts_cover_all_that_are_no_scans(spark):
+    flat, scan = "one line only", "\n".join(["a line set to a width of the page and"] * 8)
+    rows = [("wa", False, "pdf", flat), ("wb", None, "docx", flat), ("wc", None, "pdf", flat), ("wd", None, None, flat), ("we", None, "pdf", None), ("wf", None, "image", ""), ("xa", True, "pdf", scan), ("xb", None, "image", scan), ("xc", True, "docx", flat)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id bigint, text string, is_scanned boolean, doc_type string, raw_text string")
+    got = {r["key"]: r["n"] for r in scan_repair.clean_counts(docs).where("kind = 'word'").collect()}
+    assert got == dict.fromkeys(["wa", "wb", "wc", "wd", "we", "wf"], 1)
+    assert {r["doc_id"] for r in scan_repair.scanned(docs).collect()} == {6, 7, 8}
+
+
 def test_roman_and_misread_numbers():
     assert page_furniture.page_number("xxxiv")[1] == [("r", 34)]
     assert ("a", 322) in page_furniture.page_number("3Z2")[1]
