@@ -45,7 +45,7 @@ _WORD_START = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 _CONFUSED_CJK = {r: [c for c, x in CJK_CONFUSIONS if x == r] for _, r in CJK_CONFUSIONS}
 _CONCERNED = frozenset("".join(a + b for a, b in CJK_CONFUSIONS))
 _DIGITS_READ = {r: c for c, r in reversed(DIGIT_CONFUSIONS)}
-#: Edits of one word that are tried together; a word with more is found by trying again on the best result.
+#: Edits of one word that are tried together; the true form of a word with more misreads is not found.
 MOST_EDITS = 3
 LONGEST_WORD = 48
 
