@@ -1,10 +1,10 @@
 """Repair of text from scanned pages.
 
-An averaged perceptron edits characters: for each suspect word or character it chooses between keeping it
-and sequences of replace, delete and insert operations that undo confusions of similar shapes, and for
-each line end between joining, joining without the hyphen, and leaving it. It is trained on lines of the
-clean documents, spoiled by the same confusions; counts of words and of neighbouring characters over all
-clean documents are among its features. Page furniture is found first, by its place (page_furniture).
+One pass over the documents counts the words and ideograph triples of clean texts, those read in scans, and
+the lines at page edges, and sets the scans aside; all later steps read only those. Misreadings are mined by
+joining words read in scans with known words that differ in one place; a layout model labels page furniture
+and paragraph ends; every distinct word read is joined once with the known words it may be a misreading of;
+and the character editor decides, character by character, on every scanned text.
 """
 
 from __future__ import annotations
@@ -14,355 +14,348 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
-from math import ceil, log2
+from math import ceil
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.page_furniture import MARK, fold, furniture, page_number
+from quillgraph.llm.editor import HYPHENED, HYPHENS, IDEOGRAPH, WORD, Editor, Inventory, Lesson, Lookup, before, difference, gap_keys, triple_counts, triples
+from quillgraph.llm.page_furniture import HYPHEN_END, MARK, Layout, train_layout
+from quillgraph.llm.perceptron import Perceptron
 from quillgraph.plans.shared import materialize
 
-# Shapes that are read for one another: what stood there, what is read.
-LATIN_CONFUSIONS = [
-    ("e", "c"), ("t", "f"), ("i", "l"), ("n", "ri"), ("o", "0"), ("l", "1"), ("u", "ii"), ("s", "5"), ("h", "b"), ("m", "rn"), ("d", "cl"), ("g", "9"),
-    ("li", "h"), ("é", "6"), ("w", "vv"), ("ä", "a"), ("rn", "m"), ("cl", "d"), ("T", "F"), ("S", "5"), ("B", "8"), ("O", "0"), ("I", "l"), ("E", "F"),
-]
-DIGIT_CONFUSIONS = [("1", "l"), ("0", "O"), ("2", "Z"), ("5", "S"), ("8", "B"), ("6", "b")]
-CJK_CONFUSIONS = [
-    ("量", "童"), ("量", "里"), ("系", "糸"), ("未", "末"), ("问", "间"), ("间", "问"), ("布", "市"), ("论", "沦"), ("荡", "汤"), ("力", "刀"), ("方", "万"), ("概", "慨"),
-    ("率", "牢"), ("干", "千"), ("平", "乎"), ("数", "教"), ("阵", "陈"), ("机", "札"), ("折", "拆"), ("实", "买"), ("日", "曰"), ("图", "囹"), ("土", "士"), ("学", "字"), ("已", "己"),
-]
-_WORD = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?:\.[0-9A-Za-z]+(?=$|[\s,;)。，]))?")
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+(?:-[A-Za-zÀ-ÖØ-öø-ÿ0-9]+)*")
-_CJK = re.compile(r"[一-鿿]")
-_RUN = re.compile(r"[一-鿿]{2,}")
-HYPHENS = "-‐‑¬\xad"
-_HYPHEN_END = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ0-9]+)[{HYPHENS}]\s*$")
-_HEADING = re.compile(r"^\s*(?:\d{1,2}(?:\.\d{1,2})+\s+[^\W\d]{2}|第.{1,3}[章节])(?!.*[.。，,;；?？!！])")
-_WORD_START = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
-_CONFUSED_CJK = {r: [c for c, x in CJK_CONFUSIONS if x == r] for _, r in CJK_CONFUSIONS}
-_CONCERNED = frozenset("".join(a + b for a, b in CJK_CONFUSIONS))
-_DIGITS_READ = {r: c for c, r in reversed(DIGIT_CONFUSIONS)}
-#: Edits of one word that are tried together; the true form of a word with more misreads is not found.
-MOST_EDITS = 3
-LONGEST_WORD = 48
-
-
-def _bucket(n: float) -> int:
-    return min(12, int(log2(n + 1)))
-
-
-class Perceptron:
-    """Averaged perceptron over candidates with sparse features."""
-
-    def __init__(self) -> None:
-        self.w: dict[str, float] = {}
-        self._sum: dict[str, float] = {}
-        self._at: dict[str, int] = {}
-        self._n = 0
-
-    def score(self, features: list[str]) -> float:
-        w = self.w
-        return sum(w.get(f, 0.0) for f in features)
-
-    def best(self, candidates: list[list[str]]) -> int:
-        scores = [self.score(f) for f in candidates]
-        return max(range(len(scores)), key=lambda i: (scores[i], -i))
-
-    def _add(self, features: list[str], by: float) -> None:
-        for f in features:
-            self._sum[f] = self._sum.get(f, 0.0) + (self._n - self._at.get(f, 0)) * self.w.get(f, 0.0)
-            self._at[f] = self._n
-            self.w[f] = self.w.get(f, 0.0) + by
-
-    def learn(self, candidates: list[list[str]], truth: int) -> bool:
-        self._n += 1
-        guess = self.best(candidates)
-        if guess != truth:
-            self._add(candidates[truth], 1.0)
-            self._add(candidates[guess], -1.0)
-        return guess == truth
-
-    def averaged(self) -> dict[str, float]:
-        return {f: (self._sum.get(f, 0.0) + (self._n - self._at.get(f, 0)) * w) / max(1, self._n) for f, w in self.w.items()}
-
-
-class Knowledge:
-    """Counts the features look at: words of the clean documents, and character pairs around confusable ideographs."""
-
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], extra: dict[str, int] | None = None):
-        self.words, self.pairs, self.extra = words, pairs, extra or {}
-
-    def word(self, w: str) -> int:
-        n = self.words.get(w) or self.extra.get(w)
-        if n is None and w[:1].isupper():
-            low = w.lower()
-            n = self.words.get(low) or self.extra.get(low)
-        return n or 0
-
-
-def word_edits(word: str) -> list[tuple[str, list[tuple[int, str, str]]]]:
-    """Words from which the confusions make `word`, with (place, read, stood) of every edit undone.
-
-    A run of more than LONGEST_WORD characters is data, not a word, and has none; with many places to
-    edit fewer are undone together, so the candidates of a word stay a few thousand.
-    """
-    if len(word) > LONGEST_WORD:
-        return []
-    spots = [(i, r, c) for i in range(len(word)) for c, r in LATIN_CONFUSIONS if word.startswith(r, i)]
-    if word[:1].isupper() and len(word) > 2 and word.isupper():
-        low = word.lower()
-        return [(w, e) for w, e in word_edits(low)] if low != word else []
-    out = []
-    for n in range(1, (MOST_EDITS if len(spots) <= 20 else 2) + 1):
-        for some in combinations(spots, n):
-            at, parts, ok = 0, [], True
-            for i, r, c in some:
-                if i < at:
-                    ok = False
-                    break
-                parts += [word[at:i], c]
-                at = i + len(r)
-            if ok:
-                out.append(("".join(parts) + word[at:], list(some)))
-    return out
+_WORD_START = re.compile(r"[^\W_]+")
+_BROKEN = re.compile(rf"[{HYPHENS}][ \t]*\n\s*")
+_CJK = re.compile(IDEOGRAPH)
+_BLANKS = " \t\r\f　"
+#: Rows of partial counts held in a task before they are passed on.
+FLUSH = 300_000
+
+
+def looks_scanned(text: str) -> bool:
+    """Lines are set to a width: no line is much longer than most, and most full ones stop in the middle of a sentence."""
+    lines = [s.rstrip() for s in text.split("\n") if s.strip()]
+    if len(lines) < 4:
+        return False
+    lengths = sorted(map(len, lines))
+    width = lengths[int(0.9 * (len(lines) - 1))]
+    full = [s for s in lines[:-1] if len(s) >= 0.75 * width]
+    broken = sum(not re.search(r"[.!?。！？:：;；]['\"”’)]*$", s) for s in full)
+    return len(full) >= 3 and lengths[-1] <= 1.35 * width + 2 and broken >= 0.6 * len(full)
 
 
-def _number(word: str) -> str | None:
-    """The number a token of digits and letters read for digits stands for."""
-    if not any(ch.isdigit() for ch in word) and len(word.replace(".", "")) > 1 or len(word) > 8:
+def _edge_lines(text: str) -> dict[str, int] | None:
+    """Folded line -> 0 if it stands only in the opening of a text, 1 at a page edge, 2 inside a page; None without marked pages."""
+    lay = Layout(text.split("\n"))
+    if not lay.paged:
         return None
-    to = "".join(_DIGITS_READ.get(ch, ch) for ch in word)
-    return to if to != word and to.replace(".", "", 1).isdigit() else None
-
-
-def word_candidates(word: str, before: str, know: Knowledge, in_doc: int) -> list[tuple[str, list[str], int]]:
-    """(result, features, place of the first edit) of keeping a token and of editing it into a known word or a number."""
-    own = know.word(word)
-    shape = "d" if any(ch.isdigit() for ch in word) and any(ch.isalpha() for ch in word) else "n" if word.replace(".", "").isdigit() else "w"
-    if len(word) == 1:
-        shape = "1"
-    keep = [f"keep/{shape}/{_bucket(own)}", f"keep/doc{min(in_doc, 3)}/{shape}", f"keep/len{min(len(word), 6)}", f"keep/{before}" if shape == "1" else "keep"]
-    out = [(word, keep, -1)]
-    number = _number(word)
-    if number is not None:
-        first = next(i for i, (a, b) in enumerate(zip(word, number)) if a != b)
-        out.append((number, [f"num/{shape}/{len(word)}", f"num/{before}" if shape == "1" else "num", f"num/own{_bucket(own)}", *(f"num:{a}" for a, b in zip(word, number) if a != b)], first))
-    if shape in "wd" and len(word) > 1 and own < 50:
-        got: dict[str, tuple[int, list]] = {}
-        for w, edits in word_edits(word):
-            n = know.word(w)
-            if n and (w not in got or len(edits) < len(got[w][1])):
-                got[w] = (n, edits)
-        for w, (n, edits) in got.items():
-            ratio = _bucket(n) - _bucket(own)
-            f = [f"edit/to{_bucket(n)}", f"edit/n{len(edits)}/{shape}", f"edit/ratio{max(-3, min(ratio, 8))}", f"edit/len{min(len(word), 6)}", f"edit/doc{min(in_doc, 3)}/own{_bucket(own)}"]
-            f += [f"op:{r}>{c}" for _, r, c in edits]
-            out.append((w, f, edits[0][0]))
-    return out
+    opening = set(lay.body[:2])
+    seen: dict[str, int] = {}
+    for i in lay.body:
+        s = lay.text[i]
+        if i in lay.key and i not in lay.mixed and len(s) <= 3 or i not in lay.key or re.search(r"\d|[.。，,:：?？!]", re.sub(r"^\d+\s{2,}|\s{2,}\S{1,4}$", "", s)):
+            continue
+        k = lay.key[i]
+        seen[k] = max(seen.get(k, 0), 0 if i in opening else 1 if i in lay.place else 2)
+    return seen
+
+
+_SURVEY = "what string, key string, n bigint, inner bigint, opening bigint, doc_id bigint, text string"
 
 
-def char_candidates(a: str, ch: str, b: str, know: Knowledge) -> list[tuple[str, list[str]]]:
-    """(result, features) of keeping an ideograph between a and b and of each replacement."""
-    def near(c: str) -> tuple[int, int]:
-        return _bucket(know.pairs.get(a + c, 0)), _bucket(know.pairs.get(c + b, 0))
+def survey(documents: DataFrame, share: float, seed: int, per_text: int = 40) -> DataFrame:
+    """What one pass over the documents finds, written partitioned by `what`:
 
-    l0, r0 = near(ch)
-    out = [(ch, [f"ckeep/{min(l0, 6)}/{min(r0, 6)}", f"ckeep:{ch}"])]
-    for c in _CONFUSED_CJK[ch]:
-        l1, r1 = near(c)
-        out.append((c, [f"crep/{min(l1, 6)}/{min(r1, 6)}", f"crep/d{max(-4, min(4, l1 - l0))}/{max(-4, min(4, r1 - r0))}", f"crep:{ch}>{c}"]))
+    word, triple: counts over the texts of documents that are no scans; read, readtriple: over scans; edge,
+    pages: lines at page edges and the number of texts with marked pages; scan: the scans themselves;
+    sample: lines of clean texts chosen by a hash of doc_id, at most `per_text` of each, drawn over the whole text.
+    A scan has raw_text, and is_scanned true, or null and lines that are set to a width.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # words are taken from the distinct strings between blanks, which are far fewer than all
+        counts: dict[str, Counter] = {k: Counter() for k in ("word", "triple", "read", "readtriple")}
+        edges: dict[str, list[int]] = {}
+        marked = 0
+
+        def take() -> pd.DataFrame:
+            for what in ("word", "read"):
+                words: Counter = Counter()
+                for chunk, n in counts[what].items():
+                    for w in WORD.findall(chunk):
+                        if not w.isdigit():
+                            words[w] += n
+                    if "-" in chunk:
+                        for w in HYPHENED.findall(chunk):
+                            if "-" in w:
+                                words[w] += n
+                counts[what] = words
+            rows = [(what, k, n, 0, 0, None, None) for what, c in counts.items() for k, n in c.items()]
+            rows += [("edge", k, *v, None, None) for k, v in edges.items()]
+            for c in counts.values():
+                c.clear()
+            edges.clear()
+            return pd.DataFrame(rows, columns=["what", "key", "n", "inner", "opening", "doc_id", "text"])
+
+        for pdf in batches:
+            out = []
+            texts: dict[str, list[str]] = {"word": [], "read": []}
+            for doc, text, raw, flag, chosen in pdf.itertuples(index=False):
+                scan = isinstance(raw, str) and raw != "" and (flag is True or flag == 1 or (flag is None or flag != flag) and looks_scanned(raw))
+                if scan:
+                    texts["read"].append(_BROKEN.sub("", raw))
+                    seen = _edge_lines(raw)
+                    if seen is not None:
+                        marked += 1
+                        for k, v in seen.items():
+                            e = edges.setdefault(k, [0, 0, 0])
+                            e[0] += v < 2
+                            e[1] += v == 2
+                            e[2] += v == 0
+                    if doc == doc and doc is not None:
+                        out.append(("scan", None, 1, 0, 0, int(doc), raw))
+                elif isinstance(text, str):
+                    texts["word"].append(text)
+                    if chosen:
+                        lines = [s for s in text.split("\n") if s.strip()]
+                        rng = random.Random(int(doc) + seed)
+                        some = sorted(rng.sample(range(len(lines)), min(per_text, len(lines))))
+                        out.append(("sample", None, len(some), 0, 0, int(doc), "\n".join(lines[k] for k in some)))
+            if out:
+                yield pd.DataFrame(out, columns=["what", "key", "n", "inner", "opening", "doc_id", "text"])
+            for what, trips in (("word", "triple"), ("read", "readtriple")):
+                for t in texts[what]:
+                    counts[what].update(t.split())
+                for k, n in zip(*triple_counts(texts[what])):
+                    counts[trips][k] += n
+            if sum(map(len, counts.values())) + len(edges) > FLUSH:
+                yield take()
+        last = take()
+        yield pd.concat([last, pd.DataFrame([("pages", None, marked, 0, 0, None, None)], columns=last.columns)], ignore_index=True)
+
+    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share) + 1)
+    d = documents.select("doc_id", "text", "raw_text", "is_scanned", (F.coalesce(spread, F.lit(False)) & F.col("doc_id").isNotNull()).alias("chosen"))
+    return d.mapInPandas(run, _SURVEY)
+
+
+def notices(edges: DataFrame, marked: int, least_share: float = 0.01) -> frozenset[str]:
+    """Lines, folded, that stand at the page edges of several documents and hardly anywhere else.
+
+    A notice stands in two texts and in `least_share` of those with marked pages at least, however many there
+    are, so no more than the mean number of edge lines of a text divided by that share can be notices. A line
+    that in half of its texts stands only among the first two lines is a title.
+    """
+    least = max(2, ceil(least_share * marked))
+    sums = edges.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "inner", "opening")])
+    rows = sums.where(f"n >= {least} and n >= 0.9 * (n + inner) and opening < 0.5 * n").select("key").collect()
+    return frozenset(r["key"] for r in rows)
+
+
+def mine(counts: DataFrame, least_share: float = 0.004, least: int = 3) -> dict[tuple[str, str], float]:
+    """(read, stood) -> support of the misreadings seen in scans.
+
+    Words and triples that are read in scans and never written in clean texts are joined with the written ones
+    that differ in one place; every one of them gives its candidates one vote together. A misreading has
+    `least_share` of all votes and `least` different words: so at most 1 / least_share come out.
+    """
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, w, kind) for w, kind in pdf.itertuples(index=False) for k in (gap_keys(w) if kind == "w" else [w[0] + "*" + w[2]])]
+            yield pd.DataFrame(rows, columns=["gap", "word", "kind"])
+
+    def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for u, w in pdf.itertuples(index=False):
+                _, r, s = difference(u, w)
+                # an added letter alone is how words are inflected, and digits are not read out of words
+                if r and s and len(r) <= 2 and len(s) <= 2:
+                    rows.append((u, r, s))
+            yield pd.DataFrame(rows, columns=["u", "r", "s"])
+
+    kind = F.when(F.col("what").isin("word", "read"), "w").otherwise("t").alias("kind")
+    fair = F.when(kind == "w", (F.length("key") >= 4) & F.col("key").rlike(r"\p{L}")).otherwise(F.length("key") == 3)
+    read = counts.where("what in ('read', 'readtriple')").where(fair).select("key", kind)
+    known = counts.where("what in ('word', 'triple')").where(fair)
+    unknown = read.join(known.select("key", kind), ["key", "kind"], "left_anti")
+    # an ideograph is out of place only if it is so beside both neighbours
+    side = lambda a, b: F.concat(F.lit(a), F.substring("key", b, 2))
+    pairs = counts.where("what = 'triple'").select(F.explode(F.array(side("l", 1), side("r", 2))).alias("pair")).distinct()
+    odd = unknown.where("kind = 't'").withColumns({"l": side("l", 1), "r": side("r", 2)})
+    odd = odd.join(pairs.withColumnRenamed("pair", "l"), "l", "left_anti").join(pairs.withColumnRenamed("pair", "r"), "r", "left_anti").select("key", "kind")
+    unknown = materialize(unknown.where("kind = 'w'").unionByName(odd), "scan-unknown")
+    a = unknown.mapInPandas(keys, "gap string, word string, kind string").withColumnRenamed("word", "u")
+    b = known.where("n >= 2").select("key", kind).mapInPandas(keys, "gap string, word string, kind string")
+    pairs = a.join(b, ["gap", "kind"]).select("kind", "u", "word").distinct().where("u <> word")
+    ops = pairs.select("u", "word").mapInPandas(changes, "u string, r string, s string")
+    mates = ops.groupBy("u").agg(F.count("*").alias("m"))
+    votes = ops.join(mates, "u").groupBy("r", "s").agg(F.sum(F.lit(1.0) / F.col("m")).alias("v"), F.countDistinct("u").alias("n"))
+    votes = materialize(votes, "scan-ops").withColumn("cjk", F.col("r").rlike(IDEOGRAPH))
+    total = {r["cjk"]: r["t"] for r in votes.groupBy("cjk").agg(F.sum("v").alias("t")).collect()}
+    out = {}
+    for cjk, t in total.items():
+        for r in votes.where((F.col("cjk") == cjk) & (F.col("v") >= least_share * t) & (F.col("n") >= least)).collect():
+            out[r["r"], r["s"]] = r["v"] / t
     return out
 
 
-def join_candidates(left: str, mark: str, right: str, know: Knowledge) -> list[tuple[str, list[str]]]:
-    """(operation, features) at a line end with a hyphen: `drop` joins the word, `hold` joins and keeps the hyphen."""
-    whole, hyph = know.word(left + right), know.word(f"{left}-{right}")
-    if not whole:
-        # either part may be misread
-        fixed = [n for w, _ in word_edits(left + right)[:400] if (n := know.word(w))]
-        whole = max(fixed, default=0)
-    l, r = know.word(left), know.word(right)
-    ctx = [f"w{min(_bucket(whole), 4)}", f"h{min(_bucket(hyph), 4)}", f"w{whole > 0}/h{hyph > 0}", f"parts{l > 2 and len(left) > 2}/{r > 2 and len(right) > 2}/w{whole > 0}", f"m{mark}", f"more{_bucket(whole) > _bucket(hyph)}"]
-    low = right[:1].islower()
-    return [("drop", [f"drop/{c}" for c in ctx] + [f"drop/low{low}"]), ("hold", [f"hold/{c}" for c in ctx] + [f"hold/low{low}"])]
-
-
-def spoil(text: str, confusions: list[tuple[str, str]], rng: random.Random) -> tuple[str, bool]:
-    """text with one confusion made at a random place, if any fits."""
-    spots = [(i, c, r) for c, r in confusions for i in range(len(text)) if text.startswith(c, i)]
-    if not spots:
-        return text, False
-    i, c, r = rng.choice(spots)
-    return text[:i] + r + text[i + len(c) :], True
-
-
-def train(lines: list[str], words: dict[str, int], pairs: dict[str, int], seed: int = 7, epochs: int = 4) -> dict[str, float]:
-    """Weights learned from clean lines and spoiled copies of their words, characters and line ends."""
-    rng = random.Random(seed)
-    know = Knowledge(words, pairs)
-    p = Perceptron()
-    tasks: list[tuple[str, tuple]] = []
-    for line in lines:
-        for m in _WORD.finditer(line):
-            tasks.append(("word", (m.group(), _before(line, m.start()))))
-        for run in _RUN.findall(line):
-            tasks += [("char", (run[i - 1], run[i], run[i + 1])) for i in range(1, len(run) - 1) if run[i] in _CONCERNED]
-        tasks += [("join", (m.group(),)) for m in _LATIN.finditer(line) if len(m.group()) >= 5 and not m.group()[0].isdigit()]
-    noisy_of = {c: [r for x, r in CJK_CONFUSIONS if x == c] for c, _ in CJK_CONFUSIONS}
-    rng.shuffle(tasks)
-    for _ in range(epochs):
-        for kind, x in tasks:
-            if kind == "word":
-                w, before = x
-                number = w.replace(".", "").isdigit()
-                r, done = spoil(w, DIGIT_CONFUSIONS if number else LATIN_CONFUSIONS, rng) if rng.random() < (0.3 if number or len(w) > 2 else 0.0) else (w, False)
-                if done and not number and rng.random() < 0.2:
-                    r = spoil(r, LATIN_CONFUSIONS, rng)[0]
-                hidden = not done and rng.random() < 0.1 and len(w) > 3
-                n = words.get(w)
-                if hidden and n:  # a word the counts do not know must be kept too
-                    words[w] = 0
-                cands = word_candidates(r, before, know, rng.choice((1, 1, 2, 3)) if not done else 1)
-                if hidden and n:
-                    words[w] = n
-                truth = next((k for k, c in enumerate(cands) if c[0] == w), None)
-                if truth is not None and len(cands) > 1:
-                    p.learn([c[1] for c in cands], truth)
-            elif kind == "char":
-                a, c, b = x
-                r = rng.choice(noisy_of[c]) if c in noisy_of and rng.random() < 0.4 else c
-                if r in _CONFUSED_CJK:
-                    cands = char_candidates(a, r, b, know)
-                    truth = next((k for k, y in enumerate(cands) if y[0] == c), None)
-                    if truth is not None:
-                        p.learn([y[1] for y in cands], truth)
-            else:
-                w = x[0]
-                if "-" in w:
-                    left, _, right = w.partition("-")
-                    truth, mark = 1, "-"
-                elif rng.random() < 0.2:
-                    cutat = rng.randint(2, len(w) - 2)
-                    left, right, truth, mark = w[:cutat], w[cutat:], 0, rng.choice("---" + HYPHENS)
-                else:
-                    continue
-                if left and right:
-                    p.learn([f for _, f in join_candidates(left, mark, right, know)], truth)
-    return p.averaged()
+def _word_keys(word: str, inventory: Inventory) -> list[str]:
+    return [*gap_keys(word), *("=" + k for k in inventory.fold(word))]
 
 
-def _before(line: str, at: int) -> str:
-    """What comes before a token: a word in lower case or the last ideograph."""
-    left = line[:at].rstrip()
-    if left and _CJK.match(left[-1]):
-        return left[-1]
-    return left.rsplit(None, 1)[-1].lower()[-12:] if left else ""
+def look_up(queries: DataFrame, counts: DataFrame, inventory: Inventory, ratio: int = 4) -> DataFrame:
+    """kind, q, info of distinct queries: words (w) with their own count and the known words that they may be misreadings
+    of, `ratio` times as frequent at least; triples (t) with the counts of the pairs around every ideograph that may
+    have stood in the middle. Words meet by an equi-join on keys: the word with a gap, for one misreading of any kind,
+    and its form with all known misreadings folded together, for any number of known ones."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, w, n) for w, n in pdf.itertuples(index=False) for k in _word_keys(w, inventory)]
+            yield pd.DataFrame(rows, columns=["gap", "word", "n"])
+
+    def one_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = [max(map(len, difference(q, w)[1:])) <= 2 for q, w in zip(pdf["q"], pdf["word"])]
+            yield pdf.loc[keep, ["q", "word", "n"]]
+
+    def middles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for (t,) in pdf.itertuples(index=False):
+                for x in (t[1], *inventory.by_read.get(t[1], ())):
+                    rows += [(t, x, 0, "l" + t[0] + x), (t, x, 1, "r" + x + t[2])]
+            yield pd.DataFrame(rows, columns=["q", "x", "side", "pair"])
+
+    words = counts.where("what = 'word'").select("key", "n")
+    q = queries.where("kind = 'w'").select("q").join(words.select(F.col("key").alias("q"), F.col("n").alias("own")), "q", "left").na.fill(0, ["own"])
+    has_letter = F.lit(r"\p{L}")
+    a = q.where(F.regexp_like("q", has_letter) & (F.length("q") > 1)).select("q", "own").mapInPandas(keys, "gap string, word string, n bigint").select("gap", F.col("word").alias("q"), F.col("n").alias("own"))
+    b = words.where(F.regexp_like("key", has_letter) & (F.length("key") > 1) & ~F.col("key").contains("-")).mapInPandas(keys, "gap string, word string, n bigint")
+    met = a.join(b, "gap").where((F.col("word") != F.col("q")) & (F.col("n") >= ratio * F.col("own")))
+    # words that met by a half need not be alike in the other
+    alike = met.where(~F.substring("gap", 1, 1).isin("<", ">")).select("q", "word", "n")
+    mates = alike.unionByName(met.where(F.substring("gap", 1, 1).isin("<", ">")).mapInPandas(one_place, "q string, word string, n bigint")).distinct()
+    mates = mates.groupBy("q").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "word", F.col("n").cast("string")))), ",").alias("mates"))
+    w = q.join(mates, "q", "left").where("own > 0 or mates is not null").select(F.lit("w").alias("kind"), "q", F.concat_ws("\t", F.col("own").cast("string"), F.coalesce("mates", F.lit(""))).alias("info"))
+    trip = counts.where("what = 'triple'")
+    pairs = trip.select(F.explode(F.array(F.concat(F.lit("l"), F.substring("key", 1, 2)), F.concat(F.lit("r"), F.substring("key", 2, 2)))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    m = queries.where("kind = 't'").select("q").mapInPandas(middles, "q string, x string, side int, pair string").join(pairs, "pair", "left").na.fill(0, ["n"])
+    m = m.groupBy("q", "x").agg(F.max(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("r"))
+    t = m.groupBy("q").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "x", F.col("l").cast("string"), F.col("r").cast("string")))), ",").alias("info"))
+    return w.unionByName(t.select(F.lit("t").alias("kind"), "q", "info"))
+
+
+def _parse(rows: list[str], total: float, pairs: float) -> Lookup:
+    """A Lookup of lines kind, query, info."""
+    words, trips = {}, {}
+    for row in rows:
+        if row[0] == "w":
+            _, q, own, mates = row.split("\t")
+            words[q] = int(own), [(w, int(n)) for w, n in (m.rsplit(":", 1) for m in mates.split(","))] if mates else []
+        else:
+            q, _, info = row[2:].partition("\t")
+            # an ideograph is one character, so the parts are found from its place
+            trips[q] = {m[0]: tuple(map(int, m[2:].split(":"))) for m in info.split(",")}
+    return Lookup(words, trips, total, pairs)
 
 
 class Page:
-    """One scanned text, read whole."""
+    """One scanned text, read whole, with its layout: what stands on it, before any character is changed."""
 
-    def __init__(self, text: str, know: Knowledge, model: Perceptron, notices: frozenset[str]):
-        self.lines = text.split("\n")
-        self.kinds, self.marks = furniture(self.lines, notices)
-        self.know, self.model = know, model
-        self.hyphens: dict[int, str] = {}
+    def __init__(self, text: str, kinds: dict[int, str], ends: set[int]):
+        self.lines, self.kinds, self.ends = text.split("\n"), kinds, ends
+        self.hyphens: set[int] = set()
         self.misread: dict[int, list] = {}
         self.paragraphs: list[str] = []
-        self._read()
-
-    def _read(self) -> None:
-        body = [i for i in range(len(self.lines)) if i not in self.kinds and i not in self.marks]
-        solid = [i for i in body if self.lines[i].strip()]
-        doc_words = Counter(w for i in solid for w in _WORD.findall(self.lines[i]))
-        cjk_doc = sum(len(_CJK.findall(self.lines[i])) for i in solid) * 3 > sum(len(self.lines[i]) for i in solid)
-        width = sorted(len(self.lines[i].rstrip()) for i in solid)[int(0.9 * (len(solid) - 1))] if solid else 0
-        para: list[str] = []
-        places: list[tuple[int, int]] = []  # (start in the paragraph, line)
-        before, length = None, 0
-        self._heading = False  # the line before is a heading
+
+    def solid(self) -> list[int]:
+        return [i for i, s in enumerate(self.lines) if i not in self.kinds and s.strip(_BLANKS) and not MARK.match(s.strip("\f \r"))]
+
+    def read(self, solid: list[int], join) -> list[tuple[str, list[tuple[int, int]]]]:
+        """(text, [(start, line)]) of every paragraph; join(left, mark, right) decides on broken words."""
+        out, para, places, length = [], [], [], 0
+        # lines of ideographs are cut anywhere, those of other scripts between words
+        cjk = sum(len(_CJK.findall(self.lines[i])) for i in solid) * 3 > sum(len(self.lines[i]) for i in solid)
         for n, i in enumerate(solid):
-            line = self.lines[i].strip(" \t\r\f")
-            starts = before is None or self._starts(before, i, cjk_doc, width)
-            if starts and para:
-                self._close("".join(para), places, doc_words)
-                para, places, length = [], [], 0
-            line = line.strip("　 ")
+            line = self.lines[i].strip(_BLANKS)
             places.append((length, i))
-            nxt = solid[n + 1] if n + 1 < len(solid) else None
+            follow = self.lines[solid[n + 1]].strip(_BLANKS) if n + 1 < len(solid) else ""
             glue = " "
-            m = _HYPHEN_END.search(line)
-            follow = self.lines[nxt].strip(" \t\r\f　") if nxt is not None else ""
+            m = HYPHEN_END.search(line)
             w = _WORD_START.match(follow)
             if m and w and not m.group(1).isdigit():
-                mark = line.rstrip()[-1]
-                ops = join_candidates(m.group(1), mark, w.group(), self.know)
-                op = ops[self.model.best([f for _, f in ops])][0]
                 stem = line.rstrip()
-                if op == "drop":
-                    self.hyphens[i] = op
-                    stem = stem[:-1]
+                if join(m.group(1), stem[-1], w.group(), i) == "drop":
+                    line, glue = stem[:-1], ""
                 else:
-                    stem = stem[:-1] + "-"
-                line, glue = stem, ""
-            elif cjk_doc:
+                    line, glue = stem[:-1] + "-", ""
+            elif cjk:
                 glue = ""
-            para += [line, glue]
-            length += len(line) + len(glue)
-            before = i
-        if para:
-            self._close("".join(para), places, doc_words)
-
-    def _starts(self, before: int, i: int, cjk: bool, width: int) -> bool:
-        """A new paragraph: after a blank or short finished line, at an indent, at or after a heading."""
-        a, b = self.lines[before].rstrip(), self.lines[i].strip("\f\r")
-        blank = any(not self.lines[k].strip() for k in range(before + 1, i) if k not in self.marks and k not in self.kinds)
-        if blank and not any(k in self.kinds or k in self.marks for k in range(before + 1, i)):
-            return True
-        done = bool(re.search(r"[.!?。！？:：]['\"”’」』）)]*$", a))
-        if b.startswith(("　", "  ", "\t")) or self._heading:
-            self._heading = False
-            return True
-        if done and len(b.strip()) < 60 and _HEADING.match(b):
-            self._heading = True
-            return True
-        if len(a.strip()) < 0.6 * width and not _HYPHEN_END.search(a):
-            return True
-        return done and len(a) < 0.8 * width and not cjk
-
-    def _close(self, text: str, places: list[tuple[int, int]], doc_words: Counter) -> None:
-        text = text.rstrip()
-        if len(places) == 1 and not re.search(r"[.!?。！？,，;；:：-]['\"”’」』）)]*$", text):
-            self.paragraphs.append(text)  # a title, a heading or a row of a table: no body text
-            return
+            last = i in self.ends and not (m and w) or n + 1 == len(solid)
+            para += [line] if last else [line, glue]
+            length += len(line) + (0 if last else len(glue))
+            if last:
+                out.append(("".join(para).rstrip(), places))
+                para, places, length = [], [], 0
+        return out
+
+    def queries(self, inventory: Inventory) -> tuple[set[str], set[str]]:
+        """(words, triples) that repair() will look up."""
+        words: set[str] = set()
+
+        def join(left: str, mark: str, right: str, _line: int) -> str:
+            words.update((left, right, left + right, f"{left}-{right}"))
+            return "drop"
+
+        trips: set[str] = set()
+        for text, places in self.read(self.solid(), join):
+            if _is_body(text, places):
+                words.update(WORD.findall(text))
+                trips.update(t for t in triples(f" {text} ") if t[1] in inventory.by_read)
+        words = {w for w in words if not w.replace(".", "").isdigit()}
+        return words | {w.lower() for w in words if w[:1].isupper()}, trips
+
+    def repair(self, editor: Editor, look: Lookup) -> None:
+        def join(left: str, mark: str, right: str, line: int) -> str:
+            op = editor.join(left, mark, right, look)
+            if op == "drop":
+                self.hyphens.add(line)
+            return op
+
+        paras = self.read(self.solid(), join)
+        seen = Counter(w for text, _ in paras for w in WORD.findall(text))
+        for text, places in paras:
+            self.paragraphs.append(self._edit(text, places, seen, editor, look) if _is_body(text, places) else text)
+
+    def _edit(self, text: str, places: list[tuple[int, int]], seen: Counter, editor: Editor, look: Lookup) -> str:
         edits: list[tuple[int, int, str]] = []
-        for m in _WORD.finditer(text):
+        for m in WORD.finditer(text):
             w = m.group()
-            if self.know.word(w) >= 50 and len(w) > 1 or len(w) == 1 and w not in _DIGITS_READ or w.isdigit():
+            if w.replace(".", "").isdigit():
                 continue
-            cands = word_candidates(w, _before(text, m.start()), self.know, doc_words[w])
-            if len(cands) > 1:
-                k = self.model.best([f for _, f, _ in cands])
+            out = editor.word(w, before(text, m.start()), text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1], seen[w], look)
+            if out is not None:
+                edits.append((m.start(), m.end(), "".join(out)))
+                for k, (c, o) in enumerate(zip(w, out)):
+                    if c != o:
+                        self._note(m.start() + k, places, c, o)
+        wide = f" {text} "
+        for i in range(len(text)):
+            if text[i] in editor.inventory.by_read:
+                opts = editor.ideograph(wide[i : i + 3], look)
+                k = editor.model.best(list(opts.values())) if len(opts) > 1 else 0
                 if k:
-                    edits.append((m.start(), m.end(), cands[k][0]))
-                    self._note(m.start() + max(0, cands[k][2]), places, w, cands[k][0])
-        for i in range(1, len(text) - 1):
-            ch = text[i]
-            if ch in _CONFUSED_CJK:
-                cands = char_candidates(text[i - 1], ch, text[i + 1], self.know)
-                k = self.model.best([f for _, f in cands])
-                if k:
-                    edits.append((i, i + 1, cands[k][0]))
-                    self._note(i, places, ch, cands[k][0])
+                    edits.append((i, i + 1, list(opts)[k]))
+                    self._note(i, places, text[i], list(opts)[k])
         out, at = [], 0
         for a, b, to in sorted(edits):
             if a >= at:
                 out += [text[at:a], to]
                 at = b
-        self.paragraphs.append("".join(out) + text[at:])
+        return "".join(out) + text[at:]
 
     def _note(self, at: int, places: list[tuple[int, int]], read: str, stood: str) -> None:
         line = places[bisect_right(places, (at, 1 << 60)) - 1][1]
@@ -373,190 +366,83 @@ class Page:
         return sorted([(i + 1, k) for i, k in self.kinds.items()] + [(i + 1, "hyphen") for i in self.hyphens] + [(i + 1, "misread") for i in self.misread])
 
 
-def looks_scanned(text: str) -> bool:
-    """Lines are set to a width: nearly all are short and most full ones stop in the middle of a sentence."""
-    lines = [s.rstrip() for s in text.split("\n") if s.strip()]
-    if len(lines) < 4 or max(map(len, lines)) > 110:
-        return False
-    lengths = sorted(map(len, lines))
-    width = lengths[int(0.9 * (len(lines) - 1))]
-    full = [s for s in lines[:-1] if len(s) >= 0.75 * width]
-    broken = sum(not re.search(r"[.!?。！？:：;；]['\"”’)]*$", s) for s in full)
-    return len(full) >= 3 and lengths[-1] <= 1.35 * width + 2 and broken >= 0.6 * len(full)
-
-
-#: Types of documents that can be scans where is_scanned is null.
-PAGE_TYPE = "doc_type in ('pdf', 'image')"
-
-
-def _looks_scanned(c: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(looks_scanned), "boolean")(c)
-
+def _is_body(text: str, places: list) -> bool:
+    """A paragraph; a line alone that ends in no mark is a title, a heading or a row of a table."""
+    return len(places) > 1 or bool(re.search(r"[.!?。！？,，;；:：-]['\"”’」』）)]*$", text))
 
-def clean_counts(documents: DataFrame, flush: int = 300_000) -> DataFrame:
-    """kind (word or pair), key, n over the texts of all documents that are no scans, by the test of scanned().
 
-    Counted per partition in passing and summed once; memory is bounded by flushing partial counts.
-    """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-        pairs: Counter = Counter()
-
-        def take() -> pd.DataFrame:
-            rows = [("word", k, n) for k, n in words.items()] + [("pair", k, n) for k, n in pairs.items()]
-            words.clear()
-            pairs.clear()
-            return pd.DataFrame(rows, columns=["kind", "key", "n"])
-
-        for pdf in batches:
-            for t in pdf["text"]:
-                words.update(_LATIN.findall(t))
-                for run in _CONCERNED_RUN.findall(t):
-                    for i, ch in enumerate(run):
-                        if ch in _CONCERNED:
-                            if i:
-                                pairs[run[i - 1 : i + 1]] += 1
-                            if i + 1 < len(run) and run[i + 1] not in _CONCERNED:
-                                pairs[run[i : i + 2]] += 1
-                if len(words) + len(pairs) > flush:
-                    yield take()
-        yield take()
-
-    d = documents.where("text is not null")
-    unsure = f"is_scanned is null and raw_text <> '' and {PAGE_TYPE}"
-    clean = d.where(f"is_scanned = false or raw_text is null or is_scanned is null and not coalesce({unsure}, false)").select("text")
-    clean = clean.unionByName(d.where(unsure).where(~_looks_scanned(F.col("raw_text"))).select("text"))
-    return clean.mapInPandas(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-_CONCERNED_RUN = re.compile(r"[^\s]+")
-
-
-def edge_notices(scans: DataFrame, least_share: float = 0.01) -> frozenset[str]:
-    """Lines, folded, that stand at the edges of marked pages of several documents and hardly anywhere else.
-
-    Counted over all scanned texts. A notice stands in two documents and in `least_share` of the texts with
-    marked pages at least, however many there are, so no more than the mean number of edge lines of a text
-    divided by that share can be notices, and all are kept. A line that in half of its documents stands only
-    among the first two lines is a title. Others still count as furniture by repetition within their document.
-    """
+def lay_out(scans: DataFrame, shared, inventory: Inventory) -> DataFrame:
+    """row, doc_id, text, kinds, ends and the queries (kind + word or triple) of every scan; row tells equal doc_ids apart."""
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, known = shared.value
+        model = Perceptron(weights)
         for pdf in batches:
-            rows, marked = Counter(), 0
-            for t in pdf["raw_text"]:
-                ls = t.split("\n")
-                if not any(MARK.match(s.strip()) or s.startswith("\f") for s in ls):
-                    continue  # where pages end isn't known
-                solid = [i for i, s in enumerate(ls) if s.strip() and not MARK.match(s.strip())]
-                marked += 1
-                opening = solid[:2]
-                edge = {*opening, *solid[-2:]}
-                for i, s in enumerate(ls):
-                    if MARK.match(s.strip()) or s.startswith("\f"):
-                        edge |= {i, i + 1, i + 2, i - 1, i - 2}
-                seen = {}
-                for i in solid:
-                    s = re.sub(r"^\d+\s{2,}|\s{2,}\S{1,4}$", "", ls[i].strip())
-                    if 3 < len(s) <= 40 and page_number(s) is None and not re.search(r"\d|[.。，,:：?？!]", s):
-                        k = fold(s)
-                        seen[k] = max(seen.get(k, 0), 0 if i in opening else 1 if i in edge else 2)
-                rows.update((k, v) for k, v in seen.items())
-            # the texts with marked pages are counted under no key
-            out = [(None, marked, 0, 0)] + [(k, n if v < 2 else 0, n if v == 2 else 0, n if v == 0 else 0) for (k, v), n in rows.items()]
-            yield pd.DataFrame(out, columns=["key", "edge", "inner", "opening"])
-
-    counts = "edge", "inner", "opening"
-    got = scans.select("raw_text").mapInPandas(lines, "key string, edge bigint, inner bigint, opening bigint").groupBy("key").agg(*[F.sum(c).alias(c) for c in counts])
-    got = materialize(got, "scan-edges")
-    marked = got.where("key is null").select("edge").first()
-    least = max(2, ceil(least_share * marked["edge"])) if marked else 2
-    rows = got.where(f"key is not null and edge >= {least} and edge >= 0.9 * (edge + inner) and opening < 0.5 * edge").select("key").collect()
-    return frozenset(r["key"] for r in rows)
-
+            out = []
+            for row, doc, text in pdf.itertuples(index=False):
+                lay = Layout(text.split("\n"), known)
+                kinds = lay.label(model)
+                ends = lay.breaks(kinds, model)[1]
+                words, trips = Page(text, kinds, ends).queries(inventory)
+                out.append((row, doc, text, [{"line": i, "kind": k} for i, k in kinds.items()], sorted(ends), ["w" + w for w in words] + ["t" + t for t in trips]))
+            yield pd.DataFrame(out, columns=["row", "doc_id", "text", "kinds", "ends", "queries"])
 
-def scanned(documents: DataFrame) -> DataFrame:
-    """doc_id, raw_text of scanned texts: is_scanned true, or null for a page type whose lines are set to a width."""
-    d = documents.where("doc_id is not null and raw_text is not null and raw_text <> ''")
-    sure = d.where("is_scanned").select("doc_id", "raw_text")
-    maybe = d.where(f"is_scanned is null and {PAGE_TYPE}").select("doc_id", "raw_text")
-    return sure.unionByName(maybe.where(_looks_scanned(F.col("raw_text"))))
+    numbered = scans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInPandas(run, "row bigint, doc_id bigint, text string, kinds array<struct<line:int,kind:string>>, ends array<int>, queries array<string>")
 
 
-def repair(documents: DataFrame, cache_words: int = 200_000, sample_lines: int = 4000, seed: int = 7) -> DataFrame:
+def repair(documents: DataFrame, sample_lines: int = 4000, seed: int = 7) -> DataFrame:
     """doc_id, text (repaired paragraphs, one a line), cases (line_no, kind) of every scanned document.
 
-    The model is fitted on a bounded sample of `sample_lines` lines of clean documents; counts cover all
-    of them. The `cache_words` commonest words travel with the code; if there are more, the rest are
-    joined in for exactly the words a text holds. Null or empty raw_text and null doc_id have no row; a
-    text of blank lines gives an empty text and no cases. Repeated rows are repaired each; ties between
-    candidates go to keeping the text as it is. Extra columns are ignored.
+    Both models are fitted on a bounded sample of at most `sample_lines` lines of clean documents; all counts,
+    the misreadings, the notices and the words that are looked up cover all documents. Null or empty raw_text
+    and null doc_id have no row; a text of blank lines gives an empty text and no cases. Repeated rows are
+    repaired each; ties between operations go to keeping the text as it is. Extra columns are ignored.
     """
-    counts = materialize(clean_counts(documents), "scan-counts")
-    # pairs hold an ideograph of the confusion table each: their number is bounded by the script
-    pairs = {r["key"]: r["n"] for r in counts.where("kind = 'pair'").select("key", "n").limit(3_000_000).collect()}
-    known = counts.where("kind = 'word' and n >= 3")
-    # words by powers of two of their counts, at most 64 rows: the largest set of commonest words that fits
-    steps = known.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect()
-    total, floor = 0, 64
-    for r in steps:
-        total += r["m"]
-        if total > cache_words:
-            break
-        floor = r["step"]
-    words = {r["key"]: r["n"] for r in known.where(F.floor(F.log2("n")) >= floor).select("key", "n").collect()}
-    lines = _sample(documents, sample_lines, seed)
-    weights = train(lines, dict(words), pairs, seed)
-    scans = scanned(documents)
-    notices = edge_notices(scans)
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((words, pairs, weights, notices))
-    if total > cache_words:
-        scans = _with_rare(scans, known, shared)
-    else:
-        scans = scans.withColumn("rare", F.lit(None).cast("map<string,bigint>"))
+    share = 0.5 * sample_lines / max(1, documents.count())
+    found = materialize(survey(documents, share, seed), "scan-survey", partition_by="what")
+    counts = found.where(F.col("what").isin("word", "triple", "read", "readtriple")).groupBy("what", "key").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "scan-counts", partition_by="what")
+    totals = {r["what"]: r["n"] for r in counts.groupBy("what").agg(F.sum("n").alias("n")).collect()}
+    total, pairs = float(totals.get("word") or 1), float(totals.get("triple") or 1)
+    marked = found.where("what = 'pages'").agg(F.sum("n")).first()[0] or 0
+    known = notices(found.where("what = 'edge'"), marked)
+    inventory = Inventory(mine(counts))
+    rows = found.where("what = 'sample'").select("doc_id", "text").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "text").limit(sample_lines).collect()
+    texts, n = [], 0
+    for r in rows:  # whole samples of texts up to the bound
+        n += r["text"].count("\n") + 1
+        if n > sample_lines and texts:
+            break
+        texts.append(r["text"])
+    lines = [s for t in texts for s in t.split("\n")]
+    lesson = Lesson(lines, inventory, seed)
+    layout = spark.sparkContext.broadcast((train_layout(texts, seed), known))
+    laid = materialize(lay_out(found.where("what = 'scan'"), layout, inventory), "scan-layout")
+    asked = laid.select("row", F.explode("queries").alias("kq")).select("row", F.substring("kq", 1, 1).alias("kind"), F.expr("substring(kq, 2)").alias("q"))
+    lw, lt = lesson.queries()
+    taught = spark.createDataFrame([("w", w) for w in sorted(lw)] + [("t", t) for t in sorted(lt)] or [("w", "")], "kind string, q string")
+    info = materialize(look_up(asked.select("kind", "q").unionByName(taught).distinct(), counts, inventory), "scan-lookup")
+    line = F.concat_ws("\t", "kind", "q", "info")
+    study = info.join(F.broadcast(taught), ["kind", "q"], "left_semi").select(line).collect()  # no more rows than the sample asks for
+    weights = lesson.train(inventory, _parse([r[0] for r in study], total, pairs))
+    told = asked.join(info, ["kind", "q"]).groupBy("row").agg(F.collect_list(line).alias("told"))
+    trained = spark.sparkContext.broadcast((inventory.support, weights))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, pairs, weights, notices = shared.value
-        model = Perceptron()
-        model.w = weights
+        support, weights = trained.value
+        editor = Editor(Inventory(support), weights)
         for pdf in batches:
             out = []
-            for doc, text, rare in pdf.itertuples(index=False):
-                page = Page(text, Knowledge(words, pairs, dict(rare) if rare is not None else None), model, notices)
+            for doc, text, kinds, ends, told in pdf.itertuples(index=False):
+                page = Page(text, {k["line"]: k["kind"] for k in kinds}, set(ends))
+                page.repair(editor, _parse(list(told) if told is not None else [], total, pairs))
                 out.append((doc, "\n".join(page.paragraphs), [{"line_no": n, "kind": k} for n, k in page.cases()]))
             yield pd.DataFrame(out, columns=["doc_id", "text", "cases"])
 
-    return scans.select("doc_id", "raw_text", "rare").mapInPandas(run, "doc_id bigint, text string, cases array<struct<line_no:int,kind:string>>")
-
-
-def _sample(documents: DataFrame, sample_lines: int, seed: int) -> list[str]:
-    """At most sample_lines lines of clean documents, chosen by a hash of doc_id; only chosen texts reach the driver."""
-    clean = documents.where("text is not null and text <> '' and raw_text is null and doc_id is not null")
-    want, have = max(1, sample_lines // 4), clean.count()
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
-    part = clean.where(spread < int(1_000_000 * min(1.0, 1.2 * want / max(1, have)) + 1)).select("doc_id", "text").limit(2 * want).collect()
-    return [s for r in sorted(part)[:want] for s in r["text"].split("\n")[:8] if s.strip()][:sample_lines]
-
-
-def _with_rare(scans: DataFrame, known: DataFrame, shared) -> DataFrame:
-    """Counts of the words a text, or an edit of its words, holds beyond the cached ones."""
-
-    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = shared.value[0]
-        for pdf in batches:
-            for doc, text in pdf.itertuples(index=False):
-                flat = re.sub(rf"[{HYPHENS}]\s*\n\s*", "", text)
-                own = {w for t in (text, flat) for p in (_WORD, _LATIN) for w in p.findall(t) if w not in words}
-                keys = own | {e for w in own for e, _ in word_edits(w) if e not in words}
-                keys |= {k.lower() for k in keys}
-                if keys:
-                    yield pd.DataFrame({"doc_id": [doc] * len(keys), "key": sorted(keys)})
-
-    have = scans.select("doc_id", "raw_text").mapInPandas(wanted, "doc_id bigint, key string").distinct().join(known.select("key", "n"), "key")
-    per = have.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("rare"))
-    return scans.join(per, "doc_id", "left")
+    both = laid.drop("queries").join(told, "row", "left").select("doc_id", "text", "kinds", "ends", "told")
+    return both.mapInPandas(run, "doc_id bigint, text string, cases array<struct<line_no:int,kind:string>>")
 
 
 def scan_cases(repaired: DataFrame) -> DataFrame:
