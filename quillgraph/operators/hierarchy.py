@@ -220,18 +220,24 @@ def heading_links(headings: DataFrame) -> DataFrame:
     listed = listed.join(h.select(F.col("heading_id").alias("child")), "child", "left_semi")
     flat = h.groupBy("doc_id").agg(F.max(F.col("children").isNotNull()).alias("nested")).where("not nested").select("doc_id")
     f = h.where("doc_id is not null and ord is not null and heading_level is not null").join(flat, "doc_id", "left_semi")
-    levels = sorted(r[0] for r in f.select("heading_level").distinct().limit(65).collect())
-    if len(levels) > 64:
-        raise ValueError("more than 64 heading levels")
-    w = Window.partitionBy("doc_id").orderBy("ord", "start_pos", "heading_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct("ord", "start_pos", "heading_id")
-    for lv in levels:
-        f = f.withColumn(f"_l{lv}", F.last(F.when(F.col("heading_level") == lv, at), ignorenulls=True).over(w))
-    if levels:
-        above = F.greatest(*[F.when(F.lit(lv) < F.col("heading_level"), F.col(f"_l{lv}")) for lv in levels], F.lit(None).cast(f.schema[f"_l{levels[0]}"].dataType))
-        stacked = f.select(F.col("heading_id").alias("child"), above.getField("heading_id").alias("parent")).where("parent is not null")
-        return listed.select("child", "parent").unionByName(stacked)
-    return listed.select("child", "parent")
+    f = f.select("doc_id", "ord", "start_pos", "heading_id", F.col("heading_level").alias("level")).repartition("doc_id").sortWithinPartitions("doc_id", "ord", "start_pos", "heading_id")
+    return listed.select("child", "parent").unionByName(f.mapInPandas(_stack, "child string, parent string"))
+
+
+def _stack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parents of sorted headings: a stack of those still open, carried from batch to batch, no deeper than there are levels."""
+    doc, stack = None, []
+    for pdf in batches:
+        out = []
+        for d, key, level in zip(pdf["doc_id"], pdf["heading_id"], pdf["level"]):
+            if d != doc:
+                doc, stack = d, []
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            if stack:
+                out.append((key, stack[-1][1]))
+            stack.append((level, key))
+        yield pd.DataFrame(out, columns=["child", "parent"])
 
 
 DOWNWARD = ("contains", "hierarchy", "includes", "idea-hierarchy")
