@@ -75,9 +75,9 @@ def pack(documents: DataFrame, containers: DataFrame, text: str = "text", path:
     tokens = with_tokens(documents.where("doc_id is not null"), ["doc_id"], text, path, hilbert=True).where("n_tokens > 0")
     tokens = materialize(tokens, "pack-tokens")  # ranges are sampled: do not tokenize twice
     kinds = containers.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("capacity_tokens"))
-    items = tokens.crossJoin(F.broadcast(kinds.limit(1000))) if kinds.count() <= 1000 else None
-    if items is None:
-        raise ValueError("more than 1000 container kinds")
+    configured = sorted(map(tuple, kinds.collect()))  # settings, one row a kind
+    kinds = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity_tokens")) for k, c in configured])
+    items = tokens.select("*", F.inline(kinds)) if configured else tokens.limit(0).select("*", F.lit("").alias("container_kind"), F.lit(1).alias("capacity_tokens"))
     ranged = items.repartitionByRange("container_kind", "hkey", "doc_id").sortWithinPartitions("container_kind", "hkey", "doc_id", "n_tokens")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

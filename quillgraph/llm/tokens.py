@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 DEFAULT_VOCABULARY = os.environ.get("QUILLGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: The usual pre-split of byte-level BPE: contractions, letters, digits, other marks, white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are tokenized in pieces of about this many characters, cut before white space or after a full stop.
+#: Texts are handed over in pieces of at least this many characters, so that no call is too long.
 CHUNK = 20_000
+#: Places where the pre-split breaks whatever surrounds them: before white space that follows a sign, and between a
+#: letter and a mark. The tokens on both sides are those of the whole text.
+_BREAK = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}\p{N}])")
 HASHED = 1 << 12
 
 _LOADED: dict[str, object] = {}
@@ -34,17 +38,15 @@ def encoding(path: str = DEFAULT_VOCABULARY):
 
 
 def encode(text: str, path: str = DEFAULT_VOCABULARY) -> list[int]:
-    """Token ids of a whole text; very long runs without a break are cut, so that time stays linear."""
+    """Token ids of a whole text, those the tokenizer gives for it in one call; cut only where the pre-split must break."""
     enc = encoding(path)
     if len(text) <= CHUNK:
         return enc.encode_ordinary(text)
     ids: list[int] = []
     at = 0
     while at < len(text):
-        end = min(len(text), at + CHUNK)
-        if end < len(text):
-            space = text.rfind(" ", at + CHUNK // 2, end)
-            end = space if space > 0 else end
+        m = _BREAK.search(text, at + CHUNK) if at + CHUNK < len(text) else None
+        end = m.start() if m else len(text)
         ids += enc.encode_ordinary(text[at:end])
         at = end
     return ids
