@@ -57,6 +57,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all that repeating allows: repeats and shares that drift on most of the documents."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), fill=0.5)[1]
+
+
+def p8_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_shapes.shape_groups(page_shapes.page_shapes(table(spark, sf_dir, "documents")))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual_form.visual_groups(visual_form.visual_classes(table(spark, sf_dir, "graph_nodes"), table(spark, sf_dir, "headings"))).drop("text")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_shapes.spam_pages(page_shapes.page_shapes(table(spark, sf_dir, "documents")))
 
@@ -73,12 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_full": p7_full,
     "p8_found": p8_found,
     "p8_shapes": p8_shapes,
+    "p8_groups": p8_groups,
 }
 
 _BLANK = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
