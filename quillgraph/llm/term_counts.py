@@ -1,33 +1,37 @@
 """Frequency of every distinct term, kept up to date by signed deltas.
 
-State in a shared folder, every table hash-partitioned into buckets:
-  records (rec_id, doc_id, term, version)   the counted version of each record; term null: not counted
+State in a shared folder, every table hash-partitioned into buckets and kept as a base and signed deltas on it:
+  records (rec_id, doc_id, term, version)   what is counted of each record; term null: not counted
   pairs   (doc_id, term, n)                  occurrences of a term in a document
   terms   (term, occurrences, documents)
   docs    (doc_id, n)                        distinct terms of a document
-A batch of added, changed or deleted records becomes +1 for what it brings and -1 for what it
-replaces; those signs are summed per (document, term), per term and per document and merged into the
-buckets they touch. Untouched buckets stay as they are. Each merge writes a new generation and then a
-manifest naming the generation of every bucket, so a job lost half-way leaves the old state valid.
+A batch of added, changed or deleted records becomes +1 for what it brings and -1 for what it replaces; those
+signs are summed per (document, term), per term and per document, and appended as deltas. Nothing that a batch
+does not touch is written, and only the buckets it touches are read. When the deltas of a table outgrow a part
+of its base they are merged into a new base, whose number of buckets follows its size. A manifest names what
+each table is made of; a job lost half-way leaves the last one valid, and what no manifest names is removed.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.plans.shared import latest, remove_path, scratch_path, unicode_trim
+from quillgraph.plans.shared import latest, materialize, remove_path, scratch_path, unicode_trim
 
 SCHEMAS = {
-    "records": "rec_id string, doc_id bigint, term string, version timestamp_ntz",
+    "records": "rec_id string, doc_id bigint, term string, version timestamp_ntz, gen int",
     "pairs": "doc_id bigint, term string, n bigint",
     "terms": "term string, occurrences bigint, documents bigint",
     "docs": "doc_id bigint, n bigint",
 }
 KEYS = {"records": ["rec_id"], "pairs": ["doc_id", "term"], "terms": ["term"], "docs": ["doc_id"]}
+#: Rows a bucket is made for; deltas are merged at this share of the base, or this many of them.
+PER_BUCKET, MERGE_SHARE, MERGE_DELTAS = 2_000_000, 0.3, 16
 
 
 def normalize_term(c: Column) -> Column:
@@ -46,101 +50,107 @@ class TermCounts:
     empty batch changes nothing. Extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path or scratch_path(spark, "term-counts"), buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, per_bucket: int = PER_BUCKET):
+        self.spark, self.path, self.per_bucket = spark, path or scratch_path(spark, "term-counts"), per_bucket
         self.generation = 0
-        self.at: dict[str, dict[int, int]] = {t: {} for t in SCHEMAS}  # table -> bucket -> generation
+        # table -> buckets, folders in order (the base first), rows of the base and of the deltas
+        self.state: dict[str, dict] = {t: {"buckets": 0, "parts": [], "base": 0, "delta": 0} for t in SCHEMAS}
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, buckets: int = 16) -> TermCounts:
+    def open(cls, spark: SparkSession, path: str, per_bucket: int = PER_BUCKET) -> TermCounts:
         """The state as of the last manifest."""
-        me = cls(spark, path, buckets)
-        rows = spark.read.schema("generation int, name string, bucket int, held int").json(f"{path}/manifest-*").where(F.col("name").isNotNull())
-        last = rows.agg(F.max("generation")).first()[0]
-        for r in rows.where(F.col("generation") == last).collect():  # one row per bucket
-            me.at[r["name"]][r["bucket"]] = r["held"]
-        me.generation = last or 0
+        me = cls(spark, path, per_bucket)
+        rows = spark.read.schema("generation int, state string").json(f"{path}/manifest-*").where("state is not null")
+        last = rows.orderBy(F.desc("generation")).limit(1).collect()
+        if last:
+            me.generation, me.state = last[0]["generation"], json.loads(last[0]["state"])
         return me
 
     def _bucket(self, name: str) -> Column:
-        return F.pmod(F.hash(*KEYS[name]), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str, only: list[int] | None = None) -> DataFrame:
-        by_gen: dict[int, list[int]] = {}
-        for b, g in self.at[name].items():
-            if only is None or b in only:
-                by_gen.setdefault(g, []).append(b)
-        parts = [self.spark.read.schema(SCHEMAS[name] + ", bucket int").parquet(f"{self.path}/{name}/g={g}").where(F.col("bucket").isin(bs)).drop("bucket") for g, bs in by_gen.items()]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def _write(self, name: str, df: DataFrame, buckets: list[int]) -> None:
-        df.withColumn("bucket", self._bucket(name)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/g={self.generation}")
-        self.at[name] |= dict.fromkeys(buckets, self.generation)
-
-    def _touched(self, name: str, delta: DataFrame) -> list[int]:
-        if not self.at[name]:
-            return list(range(self.buckets))
-        return sorted(r[0] for r in delta.select(self._bucket(name)).distinct().collect())  # at most `buckets` numbers
-
-    def apply(self, batch: DataFrame) -> None:
+        return F.pmod(F.hash(*KEYS[name]), F.lit(self.state[name]["buckets"])).cast("int")
+
+    def _read(self, name: str, touched_by: DataFrame | None = None) -> DataFrame:
+        """Base and deltas together; with touched_by only the buckets that its keys fall into."""
+        st = self.state[name]
+        if not st["parts"]:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        parts = [self.spark.read.schema(SCHEMAS[name] + ", bucket int").parquet(f"{self.path}/{name}/{p}") for p in st["parts"]]
+        out = reduce(DataFrame.unionByName, parts)
+        if touched_by is not None:
+            hit = [r[0] for r in touched_by.select(self._bucket(name).alias("b")).distinct().collect()]  # at most as many as buckets
+            out = out.where(F.col("bucket").isin(hit)) if len(hit) < st["buckets"] else out
+        out = out.drop("bucket")
+        if len(parts) == 1:
+            return out
+        if name == "records":
+            pack = F.max(F.struct("gen", "doc_id", "term", "version")).alias("r")
+            return out.groupBy("rec_id").agg(pack).select("rec_id", "r.doc_id", "r.term", "r.version", "r.gen")
+        values = [c for c in out.columns if c not in KEYS[name]]
+        return out.groupBy(*KEYS[name]).agg(*[F.sum(v).alias(v) for v in values]).where(f"{values[-1]} > 0")
+
+    def _write(self, name: str, df: DataFrame, part: str) -> int:
+        # rows of a bucket lie together before they are written, so a bucket is a few files, not one of every task
+        target = f"{self.path}/{name}/{part}"
+        df.withColumn("bucket", self._bucket(name)).repartition("bucket", F.pmod(F.xxhash64(*KEYS[name]), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(target)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(target).count()  # from the footers
+
+    def _append(self, name: str, df: DataFrame) -> None:
+        st, part = self.state[name], f"g={self.generation}"
+        if not st["parts"]:
+            df = materialize(df, f"counts-{name}")
+            st["buckets"] = max(1, -(-df.count() // self.per_bucket))
+            st["base"] = self._write(name, df, part)
+        else:
+            st["delta"] += self._write(name, df, part)
+        st["parts"].append(part)
+
+    def _compact(self) -> None:
+        for name, st in self.state.items():
+            if len(st["parts"]) > 1 and (st["delta"] > MERGE_SHARE * st["base"] or len(st["parts"]) > MERGE_DELTAS):
+                merged = self._read(name)
+                st["buckets"] = max(1, -(-(st["base"] + st["delta"]) // self.per_bucket))
+                part = f"base={self.generation}"
+                rows = self._write(name, merged, part)
+                st.update(parts=[part], base=rows, delta=0)
+
+    def _commit(self, before: set[tuple[str, str]]) -> None:
+        row = [(self.generation, json.dumps(self.state))]
+        self.spark.createDataFrame(row, "generation int, state string").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest-{self.generation}")
+        named = {(t, p) for t, st in self.state.items() for p in st["parts"]}
+        for name, part in before - named:
+            remove_path(self.spark, f"{self.path}/{name}/{part}")
+        remove_path(self.spark, f"{self.path}/manifest-{self.generation - 1}")
+
+    def apply(self, batch: DataFrame, compact: bool = True) -> None:
+        """Merge a batch; a generation of the state is one batch."""
+        before = {(t, p) for t, st in self.state.items() for p in st["parts"]}
         self.generation += 1
-        temp = f"{self.path}/delta/g={self.generation}"
         deleted = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
         new = batch.select(F.col("rec_id").cast("string"), F.col("doc_id").cast("bigint"), F.when(~deleted, F.col("term")).alias("term"), F.col("version").cast("timestamp_ntz"))
-        new = latest(new, "rec_id", "version", "doc_id", "term")
-        first = not self.at["records"]
-        if first:
-            touched = list(range(self.buckets))
-            both = new.select("rec_id", F.struct("doc_id", "term", "version").alias("a"), F.lit(None).cast("struct<doc_id:bigint,term:string,version:timestamp_ntz>").alias("b"))
-        else:
-            new.write.mode("overwrite").parquet(f"{temp}/new")
-            new = self.spark.read.parquet(f"{temp}/new")
-            touched = self._touched("records", new)
-            pack = F.struct("doc_id", "term", "version")
-            both = new.select("rec_id", pack.alias("a")).join(self._read("records", touched).select("rec_id", pack.alias("b")), "rec_id", "full")
-        fresh = F.col("a").isNotNull() & (F.col("b").isNull() | F.col("b.version").isNull() | (F.col("a.version") > F.col("b.version")))
-        both = both.select("rec_id", F.when(fresh, F.col("a")).otherwise(F.col("b")).alias("now"), F.when(fresh, F.col("b")).alias("was"), fresh.alias("fresh"))
-        self._write("records", both.select("rec_id", "now.doc_id", "now.term", "now.version") if first else both.select("rec_id", "now.*"), touched)
-        # signs: +1 for what a fresh record brings, -1 for what it replaces
-        if first:
-            signs = self._read("records").select("doc_id", "term", F.lit(1).alias("d"))
+        new = materialize(latest(new, "rec_id", "version", "doc_id", "term"), "counts-new")
+        if self.state["records"]["parts"]:
+            old = self._read("records", new).select("rec_id", F.struct("doc_id", "term", "version").alias("b"))
+            both = new.join(old, "rec_id", "left").where("b is null or b.version is null or version > b.version")
+            both = materialize(both, "counts-fresh")
         else:
-            signs = both.where("fresh").select(F.explode(F.array(F.struct("now.doc_id", "now.term", F.lit(1).alias("d")), F.struct("was.doc_id", "was.term", F.lit(-1).alias("d")))).alias("s")).select("s.*")
-        delta = signs.where("doc_id is not null and term is not null").groupBy("doc_id", "term").agg(F.sum("d").alias("d")).where("d <> 0")
-        self._merge(delta, temp, first)
-        remove_path(self.spark, temp)
-        rows = [(self.generation, t, b, g) for t, bs in self.at.items() for b, g in bs.items()]
-        self.spark.createDataFrame(rows, "generation int, name string, bucket int, held int").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest-{self.generation}")
-
-    def _merge(self, delta: DataFrame, temp: str, first: bool) -> None:
-        if first:
-            self._write("pairs", delta.select("doc_id", "term", F.col("d").alias("n")), self._touched("pairs", delta))
-            moved = self._read("pairs").select("doc_id", "term", F.col("n").alias("d"), F.lit(1).alias("dd"))
+            both = new.withColumn("b", F.lit(None).cast("struct<doc_id:bigint,term:string,version:timestamp_ntz>"))
+        self._append("records", both.select("rec_id", "doc_id", "term", "version", F.lit(self.generation).alias("gen")))
+        signs = both.select(F.explode(F.array(F.struct("doc_id", "term", F.lit(1).alias("d")), F.struct("b.doc_id", "b.term", F.lit(-1).alias("d")))).alias("s")).select("s.*")
+        delta = signs.where("doc_id is not null and term is not null").groupBy("doc_id", "term").agg(F.sum("d").alias("n")).where("n <> 0")
+        delta = materialize(delta, "counts-delta")
+        # a pair that comes up from nothing, or goes down to it, changes the number of documents of its term
+        if self.state["pairs"]["parts"]:
+            had = self._read("pairs", delta).select("doc_id", "term", F.col("n").alias("had"))
+            moved = delta.join(had, ["doc_id", "term"], "left").na.fill(0, ["had"])
+            moved = materialize(moved.select("doc_id", "term", "n", ((F.col("had") + F.col("n") > 0).cast("int") - (F.col("had") > 0).cast("int")).alias("dd")), "counts-moved")
         else:
-            delta.write.mode("overwrite").parquet(f"{temp}/pairs")
-            delta = self.spark.read.parquet(f"{temp}/pairs")
-            touched = self._touched("pairs", delta)
-            held = self._read("pairs", touched)
-            merged = held.join(delta, ["doc_id", "term"], "full").select("doc_id", "term", F.coalesce("n", F.lit(0)).alias("old"), (F.coalesce("n", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n"))
-            self._write("pairs", merged.where("n > 0").select("doc_id", "term", "n"), touched)
-            moved = held.join(delta, ["doc_id", "term"], "right").select("doc_id", "term", "d", ((F.coalesce("n", F.lit(0)) + F.col("d") > 0).cast("int") - F.coalesce("n", F.lit(0)).cast("boolean").cast("int")).alias("dd"))
-        by_term = moved.groupBy("term").agg(F.sum("d").alias("d"), F.sum("dd").alias("dd"))
-        by_doc = moved.groupBy("doc_id").agg(F.sum("dd").alias("dd"))
-        if first:
-            self._write("terms", by_term.select("term", F.col("d").alias("occurrences"), F.col("dd").alias("documents")), list(range(self.buckets)))
-            self._write("docs", by_doc.select("doc_id", F.col("dd").alias("n")), list(range(self.buckets)))
-            return
-        by_term.write.mode("overwrite").parquet(f"{temp}/terms")
-        by_term = self.spark.read.parquet(f"{temp}/terms")
-        touched = self._touched("terms", by_term)
-        z = F.lit(0)
-        terms = self._read("terms", touched).join(by_term, "term", "full").select("term", (F.coalesce("occurrences", z) + F.coalesce("d", z)).alias("occurrences"), (F.coalesce("documents", z) + F.coalesce("dd", z)).alias("documents"))
-        self._write("terms", terms.where("documents > 0"), touched)
-        by_doc.write.mode("overwrite").parquet(f"{temp}/docs")
-        by_doc = self.spark.read.parquet(f"{temp}/docs")
-        touched = self._touched("docs", by_doc)
-        docs = self._read("docs", touched).join(by_doc, "doc_id", "full").select("doc_id", (F.coalesce("n", z) + F.coalesce("dd", z)).alias("n"))
-        self._write("docs", docs.where("n > 0"), touched)
+            moved = delta.withColumn("dd", F.lit(1))
+        self._append("pairs", delta)
+        self._append("terms", moved.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("dd").cast("bigint").alias("documents")))
+        self._append("docs", moved.groupBy("doc_id").agg(F.sum("dd").cast("bigint").alias("n")).where("n <> 0"))
+        if compact:
+            self._compact()
+        self._commit(before)
 
     def terms(self) -> DataFrame:
         """term, occurrences, documents."""
@@ -157,7 +167,7 @@ class TermCounts:
         return self.terms().withColumn("mark", mark)
 
 
-def count_node_terms(nodes: DataFrame, since_days: int = 30, buckets: int = 16) -> TermCounts:
+def count_node_terms(nodes: DataFrame, since_days: int = 30) -> TermCounts:
     """Counts of graph_nodes.keyword over nodes and documents.
 
     Bootstraps from the rows older than the last `since_days` days of deliveries and merges the rest as a
@@ -166,7 +176,7 @@ def count_node_terms(nodes: DataFrame, since_days: int = 30, buckets: int = 16)
     """
     rows = nodes.select(F.col("node_id").alias("rec_id"), "doc_id", normalize_term(F.col("keyword")).alias("term"), F.col("ingested_at").cast("timestamp_ntz").alias("version"))
     last = nodes.agg(F.max("ingested_at")).first()[0]
-    counts = TermCounts(nodes.sparkSession, buckets=buckets)
+    counts = TermCounts(nodes.sparkSession)
     if last is None:
         counts.apply(rows)
         return counts

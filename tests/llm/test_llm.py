@@ -35,7 +35,7 @@ def test_signed_deltas(spark):
     for b in range(3):
         rows = [(f"r{rng.randrange(40)}", rng.choice([1, 2, 3, None]), rng.choice(["a", "b", "c", "hot", "hot", None]), dt(2024, 1, 1 + b, rng.randrange(24), rng.randrange(60), k), rng.random() < 0.1, "x") for k in range(30)]
         batches.append([*rows, (None, 1, "a", TS, False, "x")])
-    counts = term_counts.TermCounts(spark, buckets=4)
+    counts = term_counts.TermCounts(spark, per_bucket=5)
     for n in range(3):
         counts.apply(spark.createDataFrame(batches[n], BATCH))
         want = brute_counts(batches[: n + 1])
@@ -43,7 +43,7 @@ def test_signed_deltas(spark):
     late = [("r1", 1, "a", dt(2023, 1, 1), False, "late")]
     counts.apply(spark.createDataFrame(late + batches[0], BATCH))  # repeated and stale rows change nothing
     assert {r["term"]: (r["occurrences"], r["documents"]) for r in counts.terms().collect()} == want
-    again = term_counts.TermCounts.open(spark, counts.path, 4)
+    again = term_counts.TermCounts.open(spark, counts.path, 5)
     assert {r["term"]: r["documents"] for r in again.terms().collect()} == {t: d for t, (_, d) in want.items()}
     counts.apply(spark.createDataFrame([], BATCH))
     assert counts.terms().count() == len(want)
@@ -52,7 +52,7 @@ def test_signed_deltas(spark):
 def test_marks_and_normal_form(spark):
     rows = [(f"n{k}", k % 30, "　Common \t", TS, False, "") for k in range(30)] + [("x", 1, "rare", TS, False, ""), ("e", 1, "  ", TS, False, "")]
     df = spark.createDataFrame(rows, BATCH).withColumn("term", term_counts.normalize_term(F.col("term")))
-    counts = term_counts.TermCounts(spark, buckets=2)
+    counts = term_counts.TermCounts(spark, per_bucket=3)
     counts.apply(df)
     assert {r["term"]: r["mark"] for r in counts.marked().collect()} == {"common": "common", "rare": "rare"}
     empty = term_counts.count_node_terms(spark.createDataFrame([], "node_id string, doc_id bigint, keyword string, ingested_at timestamp_ntz"))
