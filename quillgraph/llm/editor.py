@@ -252,6 +252,8 @@ def _kind(c: str, out: str) -> str:
 
 
 def _class(c: str) -> str:
+    if not c:
+        return "_"
     return "d" if c.isdigit() else "u" if c.isupper() else "i" if _CJK.match(c) else "l" if c.isalpha() else "." if c in ".,-" else "_"
 
 
@@ -311,7 +313,7 @@ class Editor:
                     f += [f"keep1/{before}", f"keep1/{around}"]
             else:
                 edits = v[1] if v else 0
-                f += [f"edit/lex{b}{lexed}/own{b_own}/{shape}", f"edit/gain{max(-2, min(8, b - b_own))}/len{size}", f"edit/n{min(edits, 4)}/{shape}/len{size}", f"edit/n{min(edits, 3)}/own{b_own}/lex{lexed}/long{size > 5}", f"edit/inv{strong}/n{min(edits, 3)}/len{size}", f"{l}{c}>{o}", f"{c}>{o}{r}", f"edit/num{lexed}/{shape}/{around}"]
+                f += [f"edit/lex{b}{lexed}/own{b_own}/{shape}", f"edit/gain{max(-2, min(8, b - b_own))}/len{size}", f"edit/n{min(edits, 4)}/{shape}/len{size}", f"edit/n{min(edits, 3)}/own{b_own}/lex{lexed}/long{size > 5}", f"edit/inv{strong}/n{min(edits, 3)}/len{size}", f"{l if i else around[0]}{c}>{o}", f"{c}>{o}{r if i + 1 < len(word) else around[1]}", f"edit/num{lexed}/{shape}/{around}"]
                 if i in (0, len(word) - 1):
                     f.append(f"edit/end{i == 0}/inv{strong}")
                 if len(word) == 1:
@@ -321,6 +323,16 @@ class Editor:
 
     def word(self, word: str, before: str, left: str, right: str, in_doc: int, look: Lookup) -> list[str] | None:
         """What comes out for each character, None if all are kept."""
+        mates = tuple(look.mates(word))
+        key = (word, mates, look.own(word), _class(left), _class(right), min(in_doc, 3), before if len(word) == 1 else "")
+        if key in self.model.memo:
+            return self.model.memo[key]
+        out = self._word(word, before, left, right, in_doc, look)
+        if len(self.model.memo) < 200_000:
+            self.model.memo[key] = out
+        return out
+
+    def _word(self, word: str, before: str, left: str, right: str, in_doc: int, look: Lookup) -> list[str] | None:
         live = self.paths(word, look)
         if len(live) == 1:
             return None

@@ -29,8 +29,8 @@ _WORD_START = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(rf"[{HYPHENS}][ \t]*\n\s*")
 _CJK = re.compile(IDEOGRAPH)
 _BLANKS = " \t\r\f　"
-#: Rows of partial counts held in a task before they are passed on.
-FLUSH = 300_000
+#: Partial counts, and characters they were taken from, that a task holds before it passes them on.
+FLUSH, FLUSH_CHARS = 200_000, 8_000_000
 
 
 def looks_scanned(text: str) -> bool:
@@ -77,7 +77,7 @@ def survey(documents: DataFrame, share: float, seed: int, per_text: int = 40) ->
         # words are taken from the distinct strings between blanks, which are far fewer than all
         counts: dict[str, Counter] = {k: Counter() for k in ("word", "triple", "read", "readtriple")}
         edges: dict[str, list[int]] = {}
-        marked = 0
+        marked, held = 0, 0
 
         def take() -> pd.DataFrame:
             for what in ("word", "read"):
@@ -127,9 +127,11 @@ def survey(documents: DataFrame, share: float, seed: int, per_text: int = 40) ->
             for what, trips in (("word", "triple"), ("read", "readtriple")):
                 for t in texts[what]:
                     counts[what].update(t.split())
+                    held += len(t)
                 for k, n in zip(*triple_counts(texts[what])):
                     counts[trips][k] += n
-            if sum(map(len, counts.values())) + len(edges) > FLUSH:
+            if held > FLUSH_CHARS or sum(map(len, counts.values())) + len(edges) > FLUSH:
+                held = 0
                 yield take()
         last = take()
         yield pd.concat([last, pd.DataFrame([("pages", None, marked, 0, 0, None, None)], columns=last.columns)], ignore_index=True)
@@ -391,7 +393,7 @@ def lay_out(scans: DataFrame, shared, inventory: Inventory) -> DataFrame:
     return numbered.mapInPandas(run, "row bigint, doc_id bigint, text string, kinds array<struct<line:int,kind:string>>, ends array<int>, queries array<string>")
 
 
-def repair(documents: DataFrame, sample_lines: int = 4000, seed: int = 7) -> DataFrame:
+def repair(documents: DataFrame, sample_lines: int = 3000, seed: int = 7) -> DataFrame:
     """doc_id, text (repaired paragraphs, one a line), cases (line_no, kind) of every scanned document.
 
     Both models are fitted on a bounded sample of at most `sample_lines` lines of clean documents; all counts,
