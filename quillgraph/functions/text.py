@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space of any kind; the same class works in Java and in RE2.
@@ -195,6 +195,22 @@ def pages(c: Column) -> Column:
     return F.when(F.size(numbers) > 0, marked).otherwise(plain)
 
 
+def page_marks(c: Column) -> Column:
+    """array<struct<pos, page>> of the parser's page marks, pos where the number's sign ends; a text is read once."""
+    marks = lambda t: [(m.end(), int(m[1])) for m in re.finditer(r"--- 第(\d{1,9})页", t)]
+    return F.pandas_udf(lambda s: s.map(marks, na_action="ignore"), "array<struct<pos:bigint,page:int>>")(c)
+
+
+def page_asof(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """heading_id, page of points (heading_id, doc_id, start_pos): the page of the last mark (doc_id, pos, page) that ends
+    at or before the point, 0 before any. Points of documents without a row in marks have none."""
+    both = marks.where("pos is not null").select("doc_id", "pos", "page", F.lit(None).cast("string").alias("heading_id"))
+    mine = points.join(marks.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("start_pos").alias("pos"), F.lit(None).cast("int").alias("page"), "heading_id")
+    w = Window.partitionBy("doc_id").orderBy("pos", F.col("heading_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.unionByName(mine).withColumn("page", F.coalesce(F.last("page", ignorenulls=True).over(w), F.lit(0)))
+    return seen.where("heading_id is not null").select("heading_id", "page")
+
+
 def page_at(c: Column, offset: Column) -> Column:
     """Page of the last mark that begins before the offset; 0 before any."""
     before = F.regexp_extract_all(F.substring(c, F.lit(1), offset.cast("int")), F.lit(r"--- 第(\d+)页"), 1)

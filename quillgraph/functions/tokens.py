@@ -75,6 +75,17 @@ def ngram_tokens(c: Column) -> Column:
     return F.concat(grams(cjk, 2), grams(cjk, 3), grams(cjk, 4), F.transform(latin, F.lower))
 
 
+def cjk_terms(c: Column) -> Column:
+    """Grams of 2 to 6 of every run of ideographs, and runs longer than that whole."""
+    runs = F.regexp_extract_all(c, F.lit(f"({CJK}{{2,}})"), 1)
+    longer = F.filter(runs, lambda r: F.length(r) > 6)
+
+    def all_of(n: int) -> Column:
+        return F.flatten(F.transform(runs, lambda r: grams(r, n)))
+
+    return F.concat(*[all_of(n) for n in range(2, 7)], longer)
+
+
 def words(c: Column) -> Column:
     """Latin or digit runs of at least two in lower case, and bigrams of ideographs: tokens without a dictionary."""
     return dict_tokens(c, [])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,13 +123,13 @@ def common_neighbors(adj: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(j.groupBy("a", "b").agg(F.count("*").alias("common")), ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0)).alias("common"))
 
 
-def k_hop(adj: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+def k_hop(adj: DataFrame, seeds: DataFrame, k: int | None) -> DataFrame:
     """node_id, depth, via: every node within k links of a seed (node_id), by the fewest; via is the smallest node one
-    link before it. Seeds are left out. Only the frontier is joined in each step."""
+    link before it. Seeds are left out; k None goes on until nothing new is reached. Only the frontier is joined in each step."""
     edges = materialize(adj.select("src", "dst").distinct(), "hop-edges")
     seen = seeds.select("node_id").distinct().withColumns({"depth": F.lit(0), "via": F.lit(None).cast("string")})
     front, all_ = seen, seen
-    for depth in range(1, k + 1):
+    for depth in count(1) if k is None else range(1, k + 1):
         nxt = front.join(edges, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.min("src").alias("via"))
         nxt = nxt.join(all_.select(F.col("node_id").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node_id"), F.lit(depth).alias("depth"), "via")
         front = materialize(nxt, "hop")
@@ -135,8 +139,8 @@ def k_hop(adj: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return all_.where("depth > 0")
 
 
-def shortest_path(adj: DataFrame, a: str, b: str, most: int = 50) -> list[str] | None:
-    """Nodes of a shortest path from a to b, None if there is none within `most` links."""
+def shortest_path(adj: DataFrame, a: str, b: str, most: int | None = None) -> list[str] | None:
+    """Nodes of a shortest path from a to b, None if there is none, or none within `most` links where that is given."""
     spark = adj.sparkSession
     if a == b:
         return [a]
@@ -185,11 +189,32 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def heading_at(points: DataFrame, headings: DataFrame) -> DataFrame:
-    """doc_id, pos, heading_id: the deepest heading whose range holds a point: headings and points of a document share
-    the join key, the range is a residual filter."""
-    h = headings.select("doc_id", "heading_id", "heading_level", "start_pos", "end_pos").where("end_pos > start_pos")
-    j = points.join(h, "doc_id").where("start_pos <= pos and pos < end_pos")
-    return j.groupBy("doc_id", "pos").agg(F.max(F.struct("heading_level", "start_pos", "heading_id")).alias("m")).select("doc_id", "pos", "m.heading_id")
+    """doc_id, pos, heading_id: the deepest heading whose range holds a point, ties to the later start, then the greater id.
+
+    Points and heading starts of a document are sorted together and swept once; only the ranges still open are held.
+    Points in no range, and null doc_ids and positions, have no row.
+    """
+    h = headings.where("end_pos > start_pos and doc_id is not null").select("doc_id", F.col("start_pos").cast("bigint").alias("pos"), F.lit(0).alias("kind"), F.col("heading_level").alias("level"), F.col("end_pos").cast("bigint").alias("end_pos"), "heading_id")
+    p = points.where("doc_id is not null and pos is not null").select("doc_id", F.col("pos").cast("bigint").alias("pos")).distinct()
+    p = p.select("doc_id", "pos", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("bigint").alias("end_pos"), F.lit(None).cast("string").alias("heading_id"))
+    both = h.unionByName(p).repartition("doc_id").sortWithinPartitions("doc_id", "pos", "kind")
+    return both.mapInPandas(_sweep, "doc_id bigint, pos bigint, heading_id string")
+
+
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    doc, still = None, []
+    for pdf in batches:
+        out = []
+        for d, pos, kind, level, end, key in zip(*(pdf[c].tolist() for c in ("doc_id", "pos", "kind", "level", "end_pos", "heading_id"))):
+            if d != doc:
+                doc, still = d, []
+            if kind == 0:
+                still.append((-1 if level != level or level is None else level, pos, key, end))
+                continue
+            still = [x for x in still if x[3] > pos]
+            if still:
+                out.append((d, pos, max(still)[2]))
+        yield pd.DataFrame(out, columns=["doc_id", "pos", "heading_id"])
 
 
 def reorder(items: DataFrame, key: str, order: list) -> DataFrame:

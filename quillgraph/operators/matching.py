@@ -109,6 +109,20 @@ def find_all(haystack: Column, needle: str) -> Column:
     return F.when(low.startswith(n), F.concat(F.array(F.lit(0)), inner)).otherwise(inner)
 
 
+def first_positions(haystack: Column, needle: Column, most: int) -> Column:
+    """Start positions (from 0) of the first `most` occurrences of a text that stands in a column, without overlaps; none
+    for an empty one."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    parts = F.split(haystack, F.when(needle != "", quoted).otherwise(F.lit("(?!)")), F.lit(most + 1))
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, p: Column) -> Column:
+        here = acc["at"] + F.length(p)
+        return F.struct(F.concat(acc["out"], F.array(here)).alias("out"), (here + F.length(needle)).alias("at"))
+
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda acc: acc["out"])
+
+
 def full_text(documents: DataFrame, keyword: str, cap: int = 50, around: int = 40) -> DataFrame:
     """Hits of a keyword page by page: doc_id, page, match_index, snippet, score (hits on the page), rank.
 

@@ -96,6 +96,41 @@ def best_terms(terms: DataFrame, term: str, score: str, order: str) -> DataFrame
     return terms.withColumn("term_key", term_key(F.col(term))).where("term_key <> ''").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def first_terms(terms: DataFrame, key: str, term: str, order: str) -> DataFrame:
+    """One row per key and term, letter case aside: the first in order."""
+    w = Window.partitionBy(key, F.lower(F.col(term))).orderBy(order)
+    return terms.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def boosted(scores: DataFrame, key: str, suffixes: list[str]) -> DataFrame:
+    """key, word, score of (key, word, score, pmi): times 1.5 with an ending of a discipline, 1.2 with three characters or
+    more, 1.1 above a PMI of 2, and 0.7 if short, without such an ending and inside two longer words of the same text."""
+    ends = F.lit(False)
+    for s in suffixes:
+        ends = ends | F.col("word").endswith(s)
+    sub = F.array_distinct(F.concat(tk.grams(F.col("word"), 2), tk.grams(F.col("word"), 3)))
+    held = scores.select(key, "word", F.explode(sub).alias("part")).where("part <> word").groupBy(key, "part").agg(F.count("*").alias("inside"))
+    j = scores.join(held.withColumnRenamed("part", "word"), [key, "word"], "left")
+    low = (F.length("word") <= 3) & (F.coalesce("inside", F.lit(0)) >= 2) & ~ends
+    by = F.when(ends, 1.5).otherwise(1.0) * F.when(F.length("word") >= 3, 1.2).otherwise(1.0) * F.when(F.col("pmi") > 2, 1.1).otherwise(1.0) * F.when(low, 0.7).otherwise(1.0)
+    return j.select(key, "word", (F.col("score") * by).alias("score"))
+
+
+def without_overlaps(words: list[tuple[str, float]], top: int, share: float = 0.5) -> list[tuple[str, float]]:
+    """Down a ranking: a word inside a kept one that scores at least `share` as high for it is dropped; one that holds a kept word
+    and scores `share` of it takes its place; at most `top` are kept."""
+    kept: list[tuple[str, float]] = []
+    for w, s in words:
+        if any(w in k and w != k and ks >= share * s for k, ks in kept):
+            continue
+        at = next((n for n, (k, ks) in enumerate(kept) if k in w and k != w and s >= share * ks), None)
+        if at is not None:
+            kept[at] = (w, max(s, kept[at][1]))
+        elif len(kept) < top:
+            kept.append((w, s))
+    return kept
+
+
 def specificity(score: Column, threshold: int = 4) -> tuple[Column, Column]:
     """(score clamped to 1..10, generic)."""
     s = F.least(F.greatest(score, F.lit(1)), F.lit(10))

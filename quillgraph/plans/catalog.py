@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import hierarchy as hi
-from quillgraph.plans import q_graph, q_match, q_terms, q_text
+from quillgraph.plans import q_build, q_graph, q_match, q_terms, q_text
 from quillgraph.plans.shared import table
 
 
@@ -57,7 +57,7 @@ ORACLES: dict[str, str] = {
     "p5_descendants": _P5 + ", e as (select item, unnest(path) anc, unnest(range(len(path) - 1, -1, -1)) dist from r where not cyclic) select substr(anc, 2) ancestor_id, count(*) n_descendants, max(dist) height from e where dist > 0 group by 1",
 }
 
-for _part in (q_text, q_terms, q_match, q_graph):
+for _part in (q_text, q_terms, q_match, q_graph, q_build):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 

@@ -207,7 +207,7 @@ ORACLES = {
     "q_common_neighbors": f"with {_A}, nb as (select distinct src, dst from adj), c as (select p.src a, p.dst b, count(*) common from nb p join nb x on x.src = p.src join nb y on y.src = p.dst and y.dst = x.dst group by 1, 2) select nb.src a, nb.dst b, coalesce(common, 0) common from nb left join c on a = nb.src and b = nb.dst",
     "q_k_hop": _hop_sql(),
     "q_heading_tree": f"with {_HV}, flat as (select doc_id from h group by 1 having count(children) = 0) select distinct u.child, u.parent from (select heading_id parent, unnest(children) child from h) u where u.child in (select heading_id from h) union all select child, parent from (select c.heading_id child, (select arg_max(p.heading_id, p.ord) from h p where p.doc_id = c.doc_id and p.ord < c.ord and p.heading_level < c.heading_level) parent from h c where c.doc_id in (select doc_id from flat)) where parent is not null",
-    "q_heading_of_offset": f"with {_HV}, p as (select doc_id, unnest(range(0, length(raw_text), 500)) pos from documents where length(raw_text) > 0), r as (select p.doc_id, pos, heading_id, row_number() over (partition by p.doc_id, pos order by heading_level desc, start_pos desc, heading_id desc) k from p join h on p.doc_id = h.doc_id and end_pos > start_pos and start_pos <= pos and pos < end_pos) select doc_id, pos, heading_id from r where k = 1",
+    "q_heading_of_offset": f"with {_HV}, p as (select distinct doc_id, pos from (select doc_id, unnest(range(0, length(raw_text), 500)) pos from documents where length(raw_text) > 0 union all select doc_id, pos from (select doc_id, unnest(ls) l, unnest(list_transform(range(len(ls)), lambda i: list_sum(list_transform(ls[:i], lambda x: length(x) + 1)))) p0, coalesce(p0, 0) pos from (select doc_id, string_split(raw_text, chr(10)) ls from documents where length(raw_text) > 0)) where l <> '' union all select h.doc_id, b.pos from (select doc_id, unnest([start_pos, end_pos]) pos from h) b join documents h on h.doc_id = b.doc_id where length(raw_text) > 0 and 0 <= b.pos and b.pos < length(raw_text))), r as (select p.doc_id, pos, heading_id, row_number() over (partition by p.doc_id, pos order by heading_level desc, start_pos desc, heading_id desc) k from p join h on p.doc_id = h.doc_id and end_pos > start_pos and start_pos <= pos and pos < end_pos) select doc_id, pos, heading_id from r where k = 1",
     "q_sections": f"with {_HV}, c as (select *, sum(cast(heading_level = 1 as int)) over w chapter, lead(start_pos) over w nxt from h where start_pos is not null window w as (partition by doc_id order by ord, start_pos, heading_id)), s as (select *, sum(cast(heading_level = 2 as int)) over (partition by doc_id, chapter order by ord, start_pos, heading_id) section from c) select heading_id, cast(chapter as bigint) chapter, cast(section as bigint) section, coalesce(nxt, length(raw_text)) - start_pos n from s join documents using (doc_id)",
     "q_pattern_relations": f"with c as (select clause from (select unnest(string_split_regex(text, '[。；;]')) clause from documents where text <> '') where length(clause) >= 10), r as ({_REL}) select src, dst, kind, max(weight) weight, count(*) n from r where src <> '' and dst <> '' and src <> dst group by 1, 2, 3",
     "q_cooccur_edges": f"with {_DICT}, docs as (select doc_id, text from documents where text <> ''), st as (select doc_id || '/' || i unit, s[i + 1] s from (select doc_id, s, unnest(range(len(s))) i from (select doc_id, {_SENT} s from docs))), tok as (select distinct unit, token from {_dict_tokens('st', 's', 'unit')} where token in (select t from dict2)), u as (select * from (select *, row_number() over (partition by unit order by length(token) desc, token) r from tok) where r <= 10) select x.token a, y.token b, count(*) n, least(count(*), 5) weight from u x join u y on x.unit = y.unit and x.token < y.token group by 1, 2",

@@ -67,9 +67,10 @@ def _heads(spark, d):
 
 
 def page_asof(spark, d):
+    """Page of every heading start: marks and headings of a document sorted together; texts never leave their tasks."""
     h = _heads(spark, d).where("start_pos is not null").select("heading_id", "doc_id", "start_pos")
-    docs = table(spark, d, "documents").select("doc_id", "raw_text")
-    return h.join(docs, "doc_id").where("raw_text is not null").select("heading_id", tx.page_at(F.col("raw_text"), F.col("start_pos")).alias("page"))
+    docs = table(spark, d, "documents").where("raw_text is not null").select("doc_id", F.explode_outer(tx.page_marks(F.col("raw_text"))).alias("m"))
+    return tx.page_asof(h, docs.select("doc_id", "m.pos", "m.page"))
 
 
 def scan_test(spark, d):
@@ -166,7 +167,7 @@ _MARKS = r"\[fs\d+(?:\.\d+)?\]|\[bookmark:L\d+\]"
 _CLEAN_TITLE = _trim(_rep(_rep(_rep("title", _MARKS), r"^[#\s]+|\*\*"), r"[.·…]{3,}\s*[0-9]*\s*$"))
 _T = _trim("line")
 _LOPS, _LLET = _cnt("t", r"[+\-*/=<>^~|]"), _cnt("t", "[一-龥a-zA-Z0-9]")
-_LINES = r"l as (select doc_id, unnest(s) line, unnest(range(len(s))) line_no from (select doc_id, string_split(raw_text, chr(10)) s from documents where raw_text is not null)), x as (select doc_id, line_no, line, " + _T + " t from l)"
+_LINES = r"l as (select doc_id, unnest(s) line, unnest(range(len(s))) line_no from (select doc_id, string_split(raw_text, chr(10)) s from documents where raw_text is not null)), x as (select doc_id, line_no, line, " + _T + " t from (select doc_id, line_no, " + _rep("line", rf"^{_WS}*\[fs\d+(?:\.\d+)?\]{_WS}*") + " line from l))"
 _UNESC = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
 
 ORACLES = {
