@@ -180,7 +180,11 @@ select doc_id, i ord, length(s[i + 1]) n, md5(s[i + 1]) digest from (select doc_
     "q_keywords": _CNT + ", " + _KW + ", r as (select *, tf * case when is_term then 3.0 else 1.0 end::double score from flt), k as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, first_pos) rank from r) select doc_id, rank, token word, round(score, 6) score, is_term from k where rank <= 15",
     "q_keywords_idf": _CNT + ", " + _KW + ", r as (select flt.*, tf * case when is_term then 3.0 else 1.0 end::double * case when idf = 0 then 1.0 else idf end score from flt join idf using (token)), k as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, first_pos) rank from r) select doc_id, rank, token word, round(score, 6) score, is_term from k where rank <= 12",
     "q_pmi": f"with {_LANG}, g as (select * from {_ngrams('sl', 'lang')} where length(word) in (2, 3)), tok as (select lang, word, count(*) n from g group by 1, 2), tot as (select lang, length(word) len, sum(n) total from tok group by 1, 2), ch as (select lang, ch, count(*) c from (select lang, unnest(regexp_extract_all(text, '[一-龥]')) ch from sl) group by 1, 2), sz as (select lang, sum(c) chars from ch group by 1), w as (select tok.lang, word, n, total, coalesce(chars, 1) chars, unnest(regexp_extract_all(word, '.')) ch from tok join tot on tok.lang = tot.lang and length(word) = len left join sz on tok.lang = sz.lang), v as (select w.lang, word, n, total, sum(ln(coalesce(c, 1) / chars)) logs from w left join ch on w.lang = ch.lang and w.ch = ch.ch group by 1, 2, 3, 4) select lang, word, n, round(ln((n + 0.1::double) / (total * 1.1::double)) - logs, 6) pmi from v",
-    "q_substring_suppression": f"with {_LANG}, g as {_ngrams('sl', 'lang')}, tok as (select lang, word, count(*) n from g where length(word) between 2 and 4 group by 1, 2), sub as (select lang, word, n, unnest(list_concat(list_transform(range(1, length(word)), lambda i: substring(word, cast(i as int), 2)), list_transform(range(1, greatest(length(word) - 1, 1)), lambda i: substring(word, cast(i as int), 3)))) part from tok), m as (select lang, part, max(n) n from sub where part <> word group by 1, 2) select tok.lang, word from tok join m on tok.lang = m.lang and word = part and m.n >= tok.n",
+    "q_substring_suppression": rf"""with {_LANG}, gr as (select lang, cs, i from (select lang, cs, unnest(range(1, len(cs) + 1)) i from (select lang, regexp_extract_all({tx_strip('text')}, '[一-龥]') cs from sl))),
+g as (select lang, array_to_string(cs[i:i + k - 1], '') word from gr, (select unnest([2, 3, 4]) k) where i + k - 1 <= len(cs) union all select lang, lower(l) from (select lang, unnest(regexp_extract_all({tx_strip('text')}, '[a-zA-Z][a-zA-Z0-9]*')) l from sl) where length(l) between 2 and 4),
+tok as materialized (select lang, word, count(*) n from g group by 1, 2),
+sub as (select lang, word, n, unnest(list_concat(list_transform(range(1, length(word)), lambda i: substring(word, cast(i as int), 2)), list_transform(range(1, greatest(length(word) - 1, 1)), lambda i: substring(word, cast(i as int), 3)))) part from tok),
+m as materialized (select lang, part, max(n) n from sub where part <> word group by 1, 2) select tok.lang, word from tok join m on tok.lang = m.lang and word = part where m.n >= tok.n""",
     "q_window_pairs": _WP + " select a, b, n from wp",
     "q_textrank": _textrank_sql(),
     "q_best_terms": rf"""with v as (select *, row_number() over (partition by node_id order by ingested_at desc, keyword desc nulls last, weight desc nulls last) rn from graph_nodes where node_id is not null), n as (select node_id, keyword, weight, regexp_replace(lower(keyword), '[，,、。.?？！!\"''“”‘’\[\]{{}}()（）\-\\/]|{_WS}', '', 'g') term_key from v where rn = 1 and keyword is not null and weight is not null), r as (select *, row_number() over (partition by term_key order by weight desc, node_id) k from n where term_key <> '') select term_key, keyword, weight, node_id from r where k = 1""",
