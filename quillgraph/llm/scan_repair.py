@@ -190,10 +190,11 @@ def mine(counts: DataFrame, least_share: float = 0.004, least: int = 3) -> dict[
     unknown = materialize(unknown.where("kind = 'w'").unionByName(odd), "scan-unknown")
     a = unknown.mapInPandas(keys, "gap string, word string, kind string").withColumnRenamed("word", "u")
     b = known.where("n >= 2").select("key", kind).mapInPandas(keys, "gap string, word string, kind string")
-    pairs = a.join(b, ["gap", "kind"]).select("kind", "u", "word").distinct().where("u <> word")
+    # sizes of what comes out of Python are not known to the planner: never a broadcast
+    pairs = a.hint("merge").join(b.hint("merge"), ["gap", "kind"]).select("kind", "u", "word").distinct().where("u <> word")
     ops = pairs.select("u", "word").mapInPandas(changes, "u string, r string, s string")
     mates = ops.groupBy("u").agg(F.count("*").alias("m"))
-    votes = ops.join(mates, "u").groupBy("r", "s").agg(F.sum(F.lit(1.0) / F.col("m")).alias("v"), F.countDistinct("u").alias("n"))
+    votes = ops.hint("merge").join(mates.hint("merge"), "u").groupBy("r", "s").agg(F.sum(F.lit(1.0) / F.col("m")).alias("v"), F.countDistinct("u").alias("n"))
     votes = materialize(votes, "scan-ops").withColumn("cjk", F.col("r").rlike(IDEOGRAPH))
     total = {r["cjk"]: r["t"] for r in votes.groupBy("cjk").agg(F.sum("v").alias("t")).collect()}
     out = {}
@@ -236,15 +237,15 @@ def look_up(queries: DataFrame, counts: DataFrame, inventory: Inventory, ratio:
     has_letter = F.lit(r"\p{L}")
     a = q.where(F.regexp_like("q", has_letter) & (F.length("q") > 1)).select("q", "own").mapInPandas(keys, "gap string, word string, n bigint").select("gap", F.col("word").alias("q"), F.col("n").alias("own"))
     b = words.where(F.regexp_like("key", has_letter) & (F.length("key") > 1) & ~F.col("key").contains("-")).mapInPandas(keys, "gap string, word string, n bigint")
-    met = a.join(b, "gap").where((F.col("word") != F.col("q")) & (F.col("n") >= ratio * F.col("own")))
+    met = a.hint("merge").join(b.hint("merge"), "gap").where((F.col("word") != F.col("q")) & (F.col("n") >= ratio * F.col("own")))
     # words that met by a half need not be alike in the other
     alike = met.where(~F.substring("gap", 1, 1).isin("<", ">")).select("q", "word", "n")
     mates = alike.unionByName(met.where(F.substring("gap", 1, 1).isin("<", ">")).mapInPandas(one_place, "q string, word string, n bigint")).distinct()
     mates = mates.groupBy("q").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "word", F.col("n").cast("string")))), ",").alias("mates"))
-    w = q.join(mates, "q", "left").where("own > 0 or mates is not null").select(F.lit("w").alias("kind"), "q", F.concat_ws("\t", F.col("own").cast("string"), F.coalesce("mates", F.lit(""))).alias("info"))
+    w = q.hint("merge").join(mates.hint("merge"), "q", "left").where("own > 0 or mates is not null").select(F.lit("w").alias("kind"), "q", F.concat_ws("\t", F.col("own").cast("string"), F.coalesce("mates", F.lit(""))).alias("info"))
     trip = counts.where("what = 'triple'")
     pairs = trip.select(F.explode(F.array(F.concat(F.lit("l"), F.substring("key", 1, 2)), F.concat(F.lit("r"), F.substring("key", 2, 2)))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
-    m = queries.where("kind = 't'").select("q").mapInPandas(middles, "q string, x string, side int, pair string").join(pairs, "pair", "left").na.fill(0, ["n"])
+    m = queries.where("kind = 't'").select("q").mapInPandas(middles, "q string, x string, side int, pair string").hint("merge").join(pairs.hint("merge"), "pair", "left").na.fill(0, ["n"])
     m = m.groupBy("q", "x").agg(F.max(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("r"))
     t = m.groupBy("q").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "x", F.col("l").cast("string"), F.col("r").cast("string")))), ",").alias("info"))
     return w.unionByName(t.select(F.lit("t").alias("kind"), "q", "info"))
@@ -429,7 +430,7 @@ def repair(documents: DataFrame, sample_lines: int = 3000, seed: int = 7) -> Dat
     line = F.concat_ws("\t", "kind", "q", "info")
     study = info.join(F.broadcast(taught), ["kind", "q"], "left_semi").select(line).collect()  # no more rows than the sample asks for
     weights = lesson.train(inventory, _parse([r[0] for r in study], total, pairs))
-    told = asked.join(info, ["kind", "q"]).groupBy("row").agg(F.collect_list(line).alias("told"))
+    told = asked.hint("merge").join(info.hint("merge"), ["kind", "q"]).groupBy("row").agg(F.collect_list(line).alias("told"))
     trained = spark.sparkContext.broadcast((inventory.support, weights))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -443,7 +444,7 @@ def repair(documents: DataFrame, sample_lines: int = 3000, seed: int = 7) -> Dat
                 out.append((doc, "\n".join(page.paragraphs), [{"line_no": n, "kind": k} for n, k in page.cases()]))
             yield pd.DataFrame(out, columns=["doc_id", "text", "cases"])
 
-    both = laid.drop("queries").join(told, "row", "left").select("doc_id", "text", "kinds", "ends", "told")
+    both = laid.drop("queries").hint("merge").join(told.hint("merge"), "row", "left").select("doc_id", "text", "kinds", "ends", "told")
     return both.mapInPandas(run, "doc_id bigint, text string, cases array<struct<line_no:int,kind:string>>")
 
 
