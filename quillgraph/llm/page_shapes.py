@@ -106,14 +106,14 @@ def _plainly_sentence(u: str) -> bool:
 def _goes_round(text: str) -> bool:
     """The words of a text come again and again as they do in no prose: a dozen of them, or two dozen characters of
     unspaced writing, make up nearly all of it, each many times."""
-    few, share, often = 12, 0.75, 4
+    few, share, often = 12, 0.75, 6
     count = Counter(_unspaced(text)) if not text.isascii() else Counter()
     if sum(count.values()) * 2 > len(text) * 0.7:
         few, share, often = 24, 0.95, 6
     else:
         count = Counter()
         for chunk, n in Counter(text.lower().split()).items():
-            if chunk.isalpha():
+            if chunk.isalpha() or any(c.isdigit() for c in chunk):  # a number, a code or an address is one word
                 count[chunk] += n
             else:
                 for w in _WORD.findall(chunk):
