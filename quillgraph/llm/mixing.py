@@ -88,7 +88,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     spark = documents.sparkSession
     wanted = spark.createDataFrame([(s, repeats[s]) for s in share if share[s] > 0 and repeats[s] > 0], "source string, most int")
     docs = documents.where("doc_id is not null and source is not null").select("doc_id", "source", F.col(text).alias("text"))
-    docs = docs.join(wanted.select("source"), "source", "left_semi")
+    docs = docs.join(F.broadcast(wanted.select("source")), "source", "left_semi")  # one row a target: texts stay where they lie
     tokens = with_tokens(docs, ["doc_id", "source"], "text", path).where("n_tokens > 0")
     order = F.xxhash64(F.lit(seed), "doc_id")
     tokens = materialize(tokens, "mix-tokens")
