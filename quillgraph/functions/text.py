@@ -218,32 +218,55 @@ def page_at(c: Column, offset: Column) -> Column:
 
 
 # -- predicates over terms ---------------------------------------------------------------------------
+# Signs and forms that terms do not have, by what they show.
 MATH_SIGNS = r"[∑∫∂∇√∞≈≠≤≥±×÷∈∉⊂⊆∪∩∀∃αβγδεζηθλμνξπρστφχψωΓΔΘΛΞΠΣΦΨΩ]"
 VARIABLE = r"^[a-zA-Z][0-9]?$|^[a-zA-Z]_[a-zA-Z0-9]+$|^d[xyzt]$"
 NUMBERED = r"^[0-9]+(?:\.[0-9]+)*[.、\s]"
 FRAGMENT_START = r"^[)）\]】,，.。、;；:：的了着过们]"
+PARTICLE_END = "[的是为与]$"
+OPERATORS = "[+=<>^~]"
+#: Never part of a term or an entity.
+COMMON_FAULTS = {"mathematics": MATH_SIGNS, "variable": VARIABLE, "numbering": NUMBERED, "torn": FRAGMENT_START, "operator": OPERATORS, "short latin": "^[a-z]{1,3}$"}
+#: Beyond those, of terms and of entities.
+TERM_FAULTS = {"number": "^[0-9]+$", "abbreviation": "^[A-Z]{2,3}$", "particle": "^[的是在中为和以与或得次量互维]", "preposition": "^(?:关于|对于|通过|由于|基于|根据|按照|随着|除了|至于|作为|为了)", "particle at the end": PARTICLE_END}
+ENTITY_FAULTS = {"joined": "[，,、]", "arrow or slash": r"[→←↔⇒⇐⇔/\\]", "lone letter": r"^[a-zA-Z]\s+"}
+#: Greatest length, and number of ideographs, of terms and of strong ones; lengths of entities.
+TERM_MOST, STRONG_MOST, ENTITY_LENGTHS = (16, 10), (20, 15), (2, 18)
+
+
+def faults(c: Column, *tables: dict[str, str]) -> Column:
+    """Whether a text shows any of the named faults."""
+    found = [c.rlike(p) for table in tables for p in table.values()]
+    out = found[0]
+    for f in found[1:]:
+        out = out | f
+    return out
 
 
 def is_valid_term(c: Column, stop_words: list[str], strong: bool = False) -> Column:
     """Could be a term: of fair length, no stop word, number, variable, formula, fragment or lone abbreviation. Null: false."""
-    longest, longest_cjk = (20, 15) if strong else (16, 10)
-    cjk = F.regexp_count(c, F.lit(CJK))
-    ok = F.length(c).between(2, longest) & ~c.isin(stop_words) & ~c.rlike(r"^[0-9]+$") & c.rlike(r"[a-zA-Z0-9一-龥]")
-    ok = ok & ~c.rlike(MATH_SIGNS) & ~c.rlike(VARIABLE) & ~c.rlike(r"^[A-Z]{2,3}$") & ~c.rlike(NUMBERED) & ~c.rlike(FRAGMENT_START)
-    ok = ok & ~c.rlike(r"^[的是在中为和以与或得次量互维]") & ~c.rlike(r"[+=<>^~]") & ~c.rlike(r"[的是为与]$")
-    ok = ok & ~c.rlike(r"^(?:关于|对于|通过|由于|基于|根据|按照|随着|除了|至于|作为|为了)") & ~(c.rlike(r"^设") & (F.length(c) <= 4))
-    ok = ok & (cjk <= longest_cjk) & ~(c.rlike(r"[a-zA-Z]") & ~c.rlike(r"[a-zA-Z]{2}")) & ~c.rlike(r"^[a-z]{1,3}$")
-    return F.coalesce(ok, F.lit(False))
+    longest, ideographs = STRONG_MOST if strong else TERM_MOST
+    size = F.length(c).between(2, longest) & (F.regexp_count(c, F.lit(CJK)) <= ideographs)
+    says = c.rlike("[a-zA-Z0-9一-龥]") & (~c.rlike("[a-zA-Z]") | c.rlike("[a-zA-Z]{2}"))
+    assumed = c.rlike("^设") & (F.length(c) <= 4)
+    return F.coalesce(size & says & ~assumed & ~c.isin(stop_words) & ~faults(c, COMMON_FAULTS, TERM_FAULTS), F.lit(False))
 
 
 def is_garbage_entity(c: Column, stop_words: list[str]) -> Column:
     """Structural rubbish: wrong length, stop word, formula, fragment, joined words, arrows, numbering. Null: true."""
-    ops = F.regexp_count(c, F.lit(r"[+\-*/=<>^~|]"))
-    letters = F.regexp_count(c, F.lit(r"[一-龥a-zA-Z0-9]"))
-    bad = ~F.length(c).between(2, 18) | c.isin(stop_words) | c.rlike(MATH_SIGNS) | c.rlike(VARIABLE) | c.rlike(NUMBERED) | c.rlike(FRAGMENT_START)
-    bad = bad | (c.rlike(r"[的是为与]$") & (F.length(c) <= 5)) | c.rlike(r"[+=<>^~]") | c.rlike(r"[，,、]") | (c.rlike(r"[IVXivx]") & c.rlike(r"[0-9]"))
-    bad = bad | c.rlike(r"[→←↔⇒⇐⇔/\\]") | c.rlike(r"^[a-zA-Z]\s+") | c.rlike(r"^[a-z]{1,3}$") | ((letters > 0) & (ops / (ops + letters) > 0.25))
-    return F.coalesce(bad, F.lit(True))
+    signs, letters = F.regexp_count(c, F.lit(r"[+\-*/=<>^~|]")), F.regexp_count(c, F.lit("[一-龥a-zA-Z0-9]"))
+    dense = (letters > 0) & (signs / (signs + letters) > 0.25)
+    roman_count = c.rlike("[IVXivx]") & c.rlike("[0-9]")
+    short_particle = c.rlike(PARTICLE_END) & (F.length(c) <= 5)
+    return F.coalesce(~F.length(c).between(*ENTITY_LENGTHS) | c.isin(stop_words) | faults(c, COMMON_FAULTS, ENTITY_FAULTS) | dense | roman_count | short_particle, F.lit(True))
+
+
+def is_quality_word(c: Column, pmi: Column, n: Column, stop_words: list[str], functional: list[str], endings: list[str]) -> Column:
+    """No rubbish and no functional ending, with a PMI above what its count asks for (-2 above 5, -1 above 2, else 1); the ending
+    of a discipline is always good enough. Null: false."""
+    ends = lambda xs: c.rlike("(?:" + "|".join(xs) + ")$") if xs else F.lit(False)
+    asked = F.when(n > 5, -2.0).when(n > 2, -1.0).otherwise(1.0)
+    return F.coalesce(~is_garbage_entity(c, stop_words) & (ends(endings) | (~ends(functional) & (pmi > asked))), F.lit(False))
 
 
 # -- predicates over lines ---------------------------------------------------------------------------
@@ -261,10 +284,20 @@ def is_formula_line(c: Column) -> Column:
     return (t != "") & (t.rlike(MATH_SIGNS) | ((letters > 0) & (ops / (ops + letters) > 0.35)) | many | t.rlike(r"\([^)]*[+\-*/=^][^)]*\)") | t.rlike(r"^[0-9\s+\-*/=^().]+$"))
 
 
+# Forms of rows of a table of contents, by what ends them.
+TOC_FORMS = {
+    "spaced dots": r"\.\s*\.\s*\.\s*[0-9]+$",
+    "leader": r"[·…]{2,}\s*[0-9]+$",
+    "open leader": r"^.{2,30}[·．.]{3,}$",
+    "number and page": r"^(?:第\s*[一二三四五六七八九十百千万0-9]+\s*[章节]?|[0-9]+(?:\.[0-9]+)*)\s*[、．.\s]*\S*[一-龥a-zA-Z].*?\s+[0-9]{1,4}$",
+    "title and page": r"^[一-龥a-zA-Z].+?\s*[.·\-]{2,}\s*[0-9]{1,4}$",
+}
+
+
 def is_toc_line(c: Column) -> Column:
+    """A row of a table of contents; bookmark marks are none."""
     t = trim_ws(c)
-    numbered = r"^(?:第\s*[一二三四五六七八九十百千万0-9]+\s*[章节]?|[0-9]+(?:\.[0-9]+)*)\s*[、．.\s]*\S*[一-龥a-zA-Z].*?\s+[0-9]{1,4}$"
-    return ~t.rlike(r"^\[bookmark:L[0-9]+\]") & (t.rlike(r"\.\s*\.\s*\.\s*[0-9]+$|[·…]{2,}\s*[0-9]+$") | t.rlike(r"^.{2,30}[·．.]{3,}$") | t.rlike(numbered) | t.rlike(r"^[一-龥a-zA-Z].+?\s*[.·\-]{2,}\s*[0-9]{1,4}$"))
+    return faults(t, TOC_FORMS) & ~t.rlike(r"^\[bookmark:L[0-9]+\]")
 
 
 # Forms of heading lines, the first that fits counts.

@@ -77,7 +77,7 @@ def rebuild_documents(nodes: DataFrame, edges: DataFrame, doc_ids: DataFrame, ne
 def pagerank(adj: DataFrame, nodes: DataFrame, iterations: int = 30, damping: float = 0.85) -> DataFrame:
     """node_id, rank: weighted, every node starts at 1 / n, dangling rank is spread evenly; ranks add up to 1.
 
-    The links are written once, partitioned by source; lineage of the ranks is cut every ten rounds.
+    The links are written once; the ranks, which every round uses twice, are written each round.
     """
     ids = materialize(nodes.select("node_id").distinct(), "rank-nodes")
     n = ids.count()
@@ -89,8 +89,7 @@ def pagerank(adj: DataFrame, nodes: DataFrame, iterations: int = 30, damping: fl
         moved = rank.join(links, rank.node_id == links.src).groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
         rank = base.join(moved, "node_id", "left").join(F.broadcast(lost)).select("node_id", "dangling", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % 5 == 0:
-            rank = materialize(rank, "rank")
+        rank = materialize(rank, "rank")
     return rank.select("node_id", "rank")
 
 
@@ -108,8 +107,8 @@ def personalized_pagerank(adj: DataFrame, nodes: DataFrame, seed: str, iteration
         lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         nxt = rank.select("node_id", "dangling", F.col("rank").alias("before")).join(moved, F.col("node_id") == F.col("to"), "left").join(F.broadcast(lost))
         nxt = nxt.select("node_id", "dangling", "before", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + F.when(F.col("node_id") == seed, 1 - alpha).otherwise(0.0)).alias("rank"))
+        nxt = materialize(nxt, "ppr")
         if k % 5 == 0 or k == iterations:
-            nxt = materialize(nxt, "ppr")
             if nxt.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < stop:
                 return nxt.select("node_id", "rank")
         rank = nxt.drop("before")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import similarity as sim
 from quillgraph.functions import tokens as tk
 from quillgraph.functions.text import pages, trim_ws
+from quillgraph.plans.shared import materialize
 
 WEIGHTS = {"keyword": 0.2, "tfidf": 0.3, "semantic": 0.3, "graph": 0.2}
 
@@ -59,16 +60,21 @@ def top_k(df: DataFrame, by: str, k: int, score: str = "score", *ties: str) -> D
 def vector_search(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, block_rows: int = 1000) -> DataFrame:
     """query_id, key, score, rank: the k nearest of all rows by cosine for every query, exactly.
 
-    Queries are taken in blocks of at most `block_rows`; each block travels to every task as one bounded
-    array, is scored against the rows where they lie, and leaves k rows per query and partition.
+    Queries are taken in blocks of about `block_rows`, one pass each; a block travels to every task as one bounded array,
+    is scored against the rows where they lie, and leaves k rows per query.
     """
     n = queries.count()
     blocks = max(1, -(-n // block_rows))
     q = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    scored = vectors.select(key, F.col(vec).alias("v")).join(F.broadcast(packed), F.lit(True)).select(key, "v", F.explode("qs").alias("s"))
-    scored = scored.select(F.col("s.query_id").alias("query_id"), key, sim.cosine(F.col("s.q"), F.col("v")).alias("score"))
-    return top_k(scored, "query_id", k, "score", key)
+    v = vectors.select(key, F.col(vec).alias("v"))
+    done = None
+    for b in range(blocks):  # one bounded array at a time; its rows are written before the next is sent
+        packed = q.where(F.col("block") == b).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+        scored = v.join(F.broadcast(packed)).select(key, "v", F.explode("qs").alias("s"))
+        best = top_k(scored.select(F.col("s.query_id").alias("query_id"), key, sim.cosine(F.col("s.q"), F.col("v")).alias("score")), "query_id", k, "score", key)
+        best = best if blocks == 1 else materialize(best, "vector-block")
+        done = best if done is None else done.unionByName(best)
+    return done
 
 
 def upsert_vectors(store: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -82,7 +88,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, key: str, text: str, terms: list
     (key, text) with every document sharing a token, plus a given graph layer (query_id, key, score)."""
     w = normalize_weights(weights)
     n = docs.count()
-    post = postings(docs, key, text, terms)
+    post = materialize(postings(docs, key, text, terms), "hybrid-postings")
     qp = postings(queries.select(F.col(key).alias("query_id"), text), "query_id", text, terms)
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1

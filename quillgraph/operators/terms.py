@@ -28,7 +28,8 @@ def keywords(counts: DataFrame, key: str, terms: list[str], stop_words: list[str
     ideographic bigram. Ties go to the token seen first.
     """
     t = F.col("token")
-    c = counts.withColumn("is_term", t.isin(terms) if terms else F.lit(False))
+    known = counts.sparkSession.createDataFrame([(x,) for x in terms], "token string")  # bounded by dictionary()
+    c = counts.join(F.broadcast(known.withColumn("is_term", F.lit(True))), "token", "left").na.fill(False, ["is_term"])
     plain = (F.length(t) >= 2) & ~t.isin(stop_words) & ~t.rlike(r"^[0-9.\-+eE×x⁻]+$|^[0-9]+[a-zA-Z]{1,2}$") & ~((F.length(t) == 2) & t.rlike(CJK))
     c = c.where(F.col("is_term") | plain)
     score = F.col("tf") * F.when(F.col("is_term"), 3.0).otherwise(1.0)
@@ -86,8 +87,8 @@ def textrank(pairs: DataFrame, iterations: int = 30, damping: float = 0.85) -> D
         score = s.select(F.col("a").alias("word"), (F.lit(1 - damping) + damping * F.col("s")).alias("score"))
         if k % 10 == 0:
             score = materialize(score, "textrank")
-    most = F.max("score").over(Window.partitionBy())
-    return score.withColumn("most", most).select("word", F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(F.col("score")).alias("score"))
+    most = score.agg(F.max("score").alias("most"))  # one row
+    return score.join(F.broadcast(most)).select("word", F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(F.col("score")).alias("score"))
 
 
 def best_terms(terms: DataFrame, term: str, score: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from quillgraph.functions import text as tx
 from quillgraph.functions import tokens as tk
 from quillgraph.operators import matching as mt
 from quillgraph.plans.q_terms import _DICT, _dict_tokens, _docs, _terms
-from quillgraph.plans.shared import latest, table
+from quillgraph.plans.shared import latest, materialize, table
 
 
 def _nodes(spark, d):
@@ -43,8 +43,9 @@ def _queries(spark, d):
 def tfidf_topk(spark, d):
     """For every document whose id is divisible by 50 the ten nearest of all by TF-IDF cosine."""
     docs, t = _docs(spark, d), _terms(spark, d)
-    post = mt.postings(docs, "doc_id", "text", t)
-    v = mt.tfidf(post, "doc_id", docs.count())
+    # tokenised once: frequencies, norms and both sides read what was written
+    post = materialize(mt.postings(docs, "doc_id", "text", t), "postings")
+    v = materialize(mt.tfidf(post, "doc_id", docs.count()), "tfidf")
     q = v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
     s = mt.sparse_cosine(q, v, "query_id", "doc_id")
     return mt.top_k(s, "query_id", 10, "score", "doc_id").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
@@ -52,7 +53,7 @@ def tfidf_topk(spark, d):
 
 def jaccard_topk(spark, d):
     docs, t = _docs(spark, d), _terms(spark, d)
-    post = mt.postings(docs, "doc_id", "text", t)
+    post = materialize(mt.postings(docs, "doc_id", "text", t), "postings")
     s = mt.token_overlap(post.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), post, "query_id", "doc_id")
     return mt.top_k(s, "query_id", 10, "score", "doc_id").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 

@@ -8,7 +8,7 @@ from quillgraph.functions import text as tx
 from quillgraph.functions import tokens as tk
 from quillgraph.operators import terms as tm
 from quillgraph.plans.q_text import STOP
-from quillgraph.plans.shared import latest, table
+from quillgraph.plans.shared import latest, materialize, table
 
 
 def _docs(spark, d):
@@ -62,7 +62,7 @@ def keywords(spark, d):
 
 
 def keywords_idf(spark, d):
-    c = _counts(spark, d)
+    c = materialize(_counts(spark, d), "token-counts")  # tokenised once for both uses
     k = tm.keywords(c, "doc_id", _terms(spark, d), STOP, 12, tm.idf(c, _docs(spark, d).count()))
     return k.select("doc_id", "rank", "word", F.round("score", 6).alias("score"), "is_term")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,10 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local[") and master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        base = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+        folder = tempfile.mkdtemp(prefix="quillgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/quillgraph-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all that this application wrote to the shared folder; to be called when its results are stored elsewhere."""
+    remove_path(spark, shared_dir(spark))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
