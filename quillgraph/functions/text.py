@@ -98,22 +98,38 @@ def decode_base64_text(c: Column) -> Column:
     return F.when(ok, F.decode(F.unbase64(F.when(ok, flat)), "UTF-8")).otherwise(c)
 
 
+_HIGH = re.compile("[\x80-\xff]")
+_HIGH_RUN = re.compile("[\x80-\xff]{2,}")
+
+
+def _read_again(text: str) -> str:
+    def run(m: re.Match) -> str:
+        try:
+            return m[0].encode("latin-1").decode("utf-8")
+        except UnicodeDecodeError:
+            return m[0]
+
+    high = len(_HIGH.findall(text))
+    if high < 3:
+        return text
+    again = _HIGH_RUN.sub(run, text)
+    return again if len(_HIGH.findall(again)) < 0.5 * high else text
+
+
 def fix_mojibake(c: Column) -> Column:
-    """UTF-8 that was read as Latin-1, read again, if at least three characters are above ASCII, none above
-    U+00FF, and reading again leaves less than half as many of that range."""
-    narrow = ~c.rlike(r"[^\x{00}-\x{FF}]")
-    high = F.regexp_count(c, F.lit(r"[\x{80}-\x{FF}]"))
-    again = F.encode(F.when(narrow & (high >= 3), c), "ISO-8859-1").cast("string")
-    left = F.regexp_count(F.when(F.is_valid_utf8(again), again), F.lit(r"[\x{80}-\x{FF}]"))
-    return F.when(left < high * 0.5, again).otherwise(c)
-
-
-def fold_ghosts(c: Column) -> Column:
-    """Characters and phrases doubled by overprinting: an ideograph three or more times, a Latin word of three
-    or more letters twice, an ideographic phrase four or more times in a row become one."""
-    out = F.regexp_replace(c, r"([一-龥])\1{2,}", "$1")
-    out = F.regexp_replace(out, r"([a-zA-Z]{3,})\1", "$1")
-    return F.regexp_replace(out, r"([一-龥]{2,}?)\1{3,}", "$1")
+    """UTF-8 that was read as Latin-1, read again run by run, if at least three characters are between U+0080 and U+00FF and
+    reading again leaves less than half as many; what is beyond, and runs that are no UTF-8, stay as they are."""
+    return F.pandas_udf(lambda s: s.map(_read_again, na_action="ignore"), "string")(c)
+
+
+def fold_ghosts(c: Column, passes: int = 5) -> Column:
+    """Characters and phrases doubled by overprinting: an ideograph three or more times, a Latin word of three or more letters
+    twice, an ideographic phrase four or more times in a row become one; again for what the folding brings together."""
+    for _ in range(passes):
+        c = F.regexp_replace(c, r"([一-龥])\1{2,}", "$1")
+        c = F.regexp_replace(c, r"([a-zA-Z]{3,})\1", "$1")
+        c = F.regexp_replace(c, r"([一-龥]{2,}?)\1{3,}", "$1")
+    return c
 
 
 def link_form(c: Column) -> Column:

@@ -115,6 +115,45 @@ def find_all(haystack: Column, needle: str) -> Column:
     return F.when(low.startswith(n), F.concat(F.array(F.lit(0)), inner)).otherwise(inner)
 
 
+def question_sentences(questions: DataFrame, sentences: DataFrame, stop_words: list[str], k: int = 5, least: float = 0.05) -> DataFrame:
+    """doc_id, question, ord, sim, rank: for every question (doc_id, question, text) the k nearest sentences (doc_id, ord, text)
+    of its document above `least`, by the cosine of raw counts of grams and words times ln((N + 1) / (df + 1)) + 1 over the
+    sentences of the document; what no sentence holds counts with ln((N + 1) / 1.5) + 1. Ties go to the earlier sentence."""
+    def grams(df: DataFrame, *keys: str) -> DataFrame:
+        t = df.select(*keys, F.explode(tk.ngram_tokens(F.col("text"))).alias("token"))
+        return t.where((F.length("token") >= 2) & ~F.col("token").isin(stop_words)).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+
+    s = materialize(grams(sentences, "doc_id", "ord"), "sentence-grams")
+    n = sentences.groupBy("doc_id").agg(F.count("*").alias("n"))
+    idf = s.groupBy("doc_id", "token").agg(F.count("*").alias("df")).join(n, "doc_id").select("doc_id", "token", (F.log((F.col("n") + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+    sv = materialize(s.join(idf, ["doc_id", "token"]).select("doc_id", "ord", "token", (F.col("tf") * F.col("idf")).alias("w")), "sentence-weights")
+    q = grams(questions, "doc_id", "question").join(n, "doc_id").join(idf, ["doc_id", "token"], "left")
+    q = materialize(q.select("doc_id", "question", "token", (F.col("tf") * F.coalesce("idf", F.log((F.col("n") + 1.0) / 1.5) + 1)).alias("w")), "question-weights")
+    norm = lambda df, *keys: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = q.join(sv.withColumnRenamed("w", "v"), ["doc_id", "token"]).groupBy("doc_id", "question", "ord").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    c = dot.join(norm(q, "doc_id", "question").withColumnRenamed("norm", "nq"), ["doc_id", "question"]).join(norm(sv, "doc_id", "ord").withColumnRenamed("norm", "ns"), ["doc_id", "ord"])
+    c = c.withColumn("sim", F.col("dot") / (F.col("nq") * F.col("ns"))).where(F.col("sim") > least)
+    w = Window.partitionBy("doc_id", "question").orderBy(F.desc(F.round("sim", 9)), "ord")
+    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "question", "ord", "sim", "rank")
+
+
+def section_matches(questions: DataFrame, sections: DataFrame, q: str, s: str, terms: list[str], top: int = 3) -> DataFrame:
+    """q, s, text_sim, overlap, score, rank: for every question (q, text, words: map of keyword to score) the `top` sections
+    (s, text, words) by 0.4 * text similarity + 0.6 * overlap of keywords, above 0.05, or with an overlap above 0.1.
+
+    Compared are pairs that share a token; without one the similarity of tokens is 0 and that of characters does not count.
+    """
+    side = lambda df, key, n: df.select(F.col(key).alias(n), F.col("text").alias(n + "x"), F.col("words").alias(n + "w"), F.array_distinct(tk.dict_tokens(F.col("text"), terms)).alias(n + "t"))
+    a, b = materialize(side(questions, q, "_a"), "question-side"), materialize(side(sections, s, "_b"), "section-side")
+    near = a.select("_a", F.explode("_at").alias("t")).join(b.select("_b", F.explode("_bt").alias("t")), "t").select("_a", "_b").distinct()
+    p = near.join(a, "_a").join(b, "_b")
+    total = F.aggregate(F.map_values("_aw"), F.lit(0.0), lambda x, y: x + y)
+    both = F.aggregate(F.map_keys("_aw"), F.lit(0.0), lambda x, w: x + F.when(F.map_contains_key("_bw", w), F.least(F.try_element_at("_aw", w), F.try_element_at("_bw", w))).otherwise(0.0))
+    p = p.select(F.col("_a").alias(q), F.col("_b").alias(s), sim.text_similarity(F.col("_ax"), F.col("_bx"), terms, F.col("_at"), F.col("_bt")).alias("text_sim"), F.when(total > 0, both / total).otherwise(0.0).alias("overlap"))
+    p = p.withColumn("score", 0.4 * F.col("text_sim") + 0.6 * F.col("overlap")).where("score > 0.05 or overlap > 0.1")
+    return top_k(p, q, top, "score", s)
+
+
 def first_positions(haystack: Column, needle: Column, most: int) -> Column:
     """Start positions (from 0) of the first `most` occurrences of a text that stands in a column, without overlaps; none
     for an empty one."""

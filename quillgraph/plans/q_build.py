@@ -226,6 +226,16 @@ def content_fallback(spark, d):
     return ck.content_or_sections(table(spark, d, "documents").select("doc_id", "raw_text"), secs).select("doc_id", F.md5("content").alias("digest"))
 
 
+def question_sentences(spark, d):
+    """The five sentences of its document nearest to every line that begins like a question."""
+    from quillgraph.operators.matching import question_sentences as nearest
+
+    docs = _docs(spark, d)
+    q = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("question", "text")).where(F.col("text").rlike(qt._BEGIN) & (F.length("text") >= 15))
+    s = docs.select("doc_id", F.posexplode(tk.sentences(F.col("text"))).alias("ord", "text"))
+    return nearest(q, s, qx.STOP).select("doc_id", "question", "ord", "rank", F.round("sim", 6).alias("sim"))
+
+
 def heading_outline(spark, d):
     """Headings found in the raw texts alone."""
     from quillgraph.operators.outline import outline
@@ -233,7 +243,7 @@ def heading_outline(spark, d):
     return outline(table(spark, d, "documents").select("doc_id", "raw_text")).select("doc_id", "ord", "level", "title", "start_pos", "end_pos", "parent")
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (heading_graph, entity_scores, entity_headings, section_links, node_display, graph_report, doc_keywords, doc_relevance, cross_links, new_links, merged_concepts, graph_score, neighbourhood, node_groups, structural_graph, visible_tree, idea_checks, idea_cycles, idea_subtrees, idea_edges, project_names, free_names, matched_keywords, embedding_cache, cjk_grams, chunk_cleanup, overlap_chunks, heading_chunks, exam_papers, textbook_sections, exam_questions, first_terms, context_lines, content_fallback, heading_outline)}
+QUERIES = {f"q_{f.__name__}": f for f in (heading_graph, entity_scores, entity_headings, section_links, node_display, graph_report, doc_keywords, doc_relevance, cross_links, new_links, merged_concepts, graph_score, neighbourhood, node_groups, structural_graph, visible_tree, idea_checks, idea_cycles, idea_subtrees, idea_edges, project_names, free_names, matched_keywords, embedding_cache, cjk_grams, chunk_cleanup, overlap_chunks, heading_chunks, exam_papers, textbook_sections, exam_questions, first_terms, context_lines, content_fallback, question_sentences, heading_outline)}
 
 # -- SQL ---------------------------------------------------------------------------------------------
 _TREE = qg.ORACLES["q_heading_tree"]
@@ -270,5 +280,13 @@ ORACLES = {
     "q_first_terms": f"with {_NV} select doc_id, arg_min(keyword, node_id) keyword from nodes where doc_id is not null and keyword is not null group by doc_id, lower(keyword)",
     "q_content_fallback": f"with {_HV}, s as (select doc_id, string_agg('## ' || coalesce(title, '') || chr(10), chr(10) order by ord, heading_id) c from h group by 1) select doc_id, md5(coalesce(nullif(raw_text, ''), c, '')) digest from documents left join s using (doc_id)",
 }
+ORACLES["q_question_sentences"] = rf"""with docs as (select doc_id, text from documents where text <> ''),
+qs as (select doc_id, i question, l[i + 1] text from (select doc_id, l, unnest(range(len(l))) i from (select doc_id, string_split(text, chr(10)) l from docs)) where regexp_matches(l[i + 1], '{qt._BEGIN}') and length(l[i + 1]) >= 15),
+st as (select doc_id, i ord, s[i + 1] text from (select doc_id, s, unnest(range(len(s))) i from (select doc_id, {qt._SENT} s from docs))),
+sg as (select doc_id, ord, word, count(*) tf from {qt._ngrams('st', 'doc_id, ord')} where length(word) >= 2 and word not in ({qx._STOP}) group by 1, 2, 3), qgr as (select doc_id, question, word, count(*) tf from {qt._ngrams('qs', 'doc_id, question')} where length(word) >= 2 and word not in ({qx._STOP}) group by 1, 2, 3),
+n as (select doc_id, count(*) n from st group by 1), idf as (select doc_id, word, ln((n + 1.0) / (df + 1)) + 1 idf from (select doc_id, word, count(*) df from sg group by 1, 2) join n using (doc_id)),
+sv as (select doc_id, ord, word, tf * idf w from sg join idf using (doc_id, word)), qv as (select doc_id, question, word, tf * coalesce(idf, ln((n + 1.0) / 1.5) + 1) w from qgr join n using (doc_id) left join idf using (doc_id, word)),
+c as (select qv.doc_id, question, ord, sum(qv.w * sv.w) d from qv join sv using (doc_id, word) group by 1, 2, 3), nq as (select doc_id, question, sqrt(sum(w * w)) nq from qv group by 1, 2), ns as (select doc_id, ord, sqrt(sum(w * w)) ns from sv group by 1, 2),
+f as (select doc_id, question, ord, d / (nq * ns) sim from c join nq using (doc_id, question) join ns using (doc_id, ord)), r as (select *, row_number() over (partition by doc_id, question order by round(sim, 9) desc, ord) rank from f where sim > 0.05) select doc_id, question, ord, rank, round(sim, 6) sim from r where rank <= 5"""
 _ppr = _ppr_sql().rpartition(" select ")
 ORACLES["q_graph_score"] = ORACLES["q_graph_score"].replace("with pr as ({PPR}), " + _A + ",", _ppr[0] + ", pr as (select node_id, rank from r10),")

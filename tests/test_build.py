@@ -9,6 +9,7 @@ from quillgraph.functions import chunking as ck
 from quillgraph.functions import replies as rp
 from quillgraph.functions import text as tx
 from quillgraph.operators import build, graph, ideas, matching, outline, terms
+from quillgraph.sources import bundles
 
 TS = dt(2024, 1, 1)
 NODE = "node_id string, doc_id bigint, node_type string, content string, weight double, aliases array<string>"
@@ -156,3 +157,43 @@ def test_ranking_of_terms(spark):
     s = spark.createDataFrame([(1, "谐振", 1.0, 0.0), (1, "谐振场", 1.0, 3.0), (1, "弱谐振", 1.0, 0.0), (1, "力学", 1.0, None)], "k int, word string, score double, pmi double")
     got = {r["word"]: round(r["score"], 4) for r in terms.boosted(s, "k", ["学"]).collect()}
     assert got == {"谐振": 0.7, "谐振场": 1.32, "弱谐振": 1.2, "力学": 1.5}
+
+
+def test_bundles_and_blobs(spark, tmp_path):
+    blobs = bundles.BlobStore(spark, f"file://{tmp_path}/blobs")
+    blobs.put("a1", b"\x00one")
+    blobs.put("a1", b"\x00two")
+    assert blobs.get("a1") == b"\x00two" and blobs.get("none") is None and [r["id"] for r in blobs.all().collect()] == ["a1"]
+    assert blobs.delete("a1") and not blobs.delete("a1")
+    with pytest.raises(ValueError):
+        blobs.get("../a1")
+    docs = spark.createDataFrame([(1, "x.pdf", 7), (2, "y.pdf", 8)], "doc_id bigint, doc_name string, project_id int")
+    t = {
+        "documents": docs,
+        "graph_nodes": spark.createDataFrame([("n1", 1), ("n2", 1), ("n3", 2), ("n4", None)], "node_id string, doc_id bigint"),
+        "graph_edges": spark.createDataFrame([("n1", "n2", "is"), ("n1", "n3", "is")], "from_id string, to_id string, edge_type string"),
+        "headings": spark.createDataFrame([("h", 2)], "heading_id string, doc_id bigint"),
+    }
+    path = f"file://{tmp_path}/bundle"
+    bundles.export_project(t, {"project_name": "Optics"}, 7, path)
+    project, got = bundles.import_project(spark, path, spark.createDataFrame([("Optics",)], "name string"), 9)
+    assert project == {"project_name": "Optics (2)", "project_id": 9}
+    assert {k: v.count() for k, v in got.items()} == {"documents": 1, "graph_nodes": 2, "graph_edges": 1, "headings": 0} and got["documents"].first()["project_id"] == 9
+    more = bundles.add_samples(spark.createDataFrame([(5, "x.pdf", 1), (6, "z.pdf", 1), (7, "z.pdf", 1)], docs.schema), docs)
+    assert sorted(r["doc_id"] for r in more.collect()) == [1, 2, 6]
+    with pytest.raises(PermissionError):
+        bundles.clear_all(spark, [path], "t", "u")
+
+
+def test_section_matches(spark):
+    q = spark.createDataFrame([(1, "the harmonic field law", {"field": 2.0, "law": 1.0})], "q int, text string, words map<string,double>")
+    s = spark.createDataFrame([(10, "harmonic field", {"field": 1.0}), (11, "other words", {}), (12, "the law", {"law": 3.0}), (13, None, {})], "s int, text string, words map<string,double>")
+    got = {r["s"]: (round(r["overlap"], 4), r["rank"]) for r in matching.section_matches(q, s, "q", "s", []).collect()}
+    assert got == {10: (0.3333, 1), 12: (0.3333, 2)}
+
+
+def test_mojibake_and_ghosts(spark):
+    bad = "电场 law".encode().decode("latin-1") + " 中"
+    df = spark.createDataFrame([(bad, "光光光的的的 heatheat 波动波动波动波动"), (None, None), ("é", "")], "t string, g string")
+    got = df.select(tx.fix_mojibake(F.col("t")), tx.fold_ghosts(F.col("g"))).collect()
+    assert [r[0] for r in got] == ["电场 law 中", None, "é"] and got[0][1] == "光的 heat 波动"
