@@ -263,3 +263,50 @@ def visible_tree(parents: DataFrame, opened: DataFrame, edges: DataFrame) -> tup
     seen = inner.unionByName(roots).distinct()
     e = edges.join(seen.select(F.col("node_id").alias("from_id")), "from_id", "left_semi").join(seen.select(F.col("node_id").alias("to_id")), "to_id", "left_semi")
     return seen, e
+
+
+def document_graph(documents: DataFrame, headings: DataFrame, terms: list[str], stop_words: list[str], top: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of documents (doc_id, doc_name, text, raw_text) from their words alone.
+
+    nodes: node_id, doc_id, node_type, content, weight. A document node each; a node for every counted heading; the
+    `top` keywords of a document that stand in its paragraphs and are no rubbish, as entities.
+    edges: from_id, to_id, edge_type, weight. Headings hang on their parent or the document (`hierarchy`), entities on the
+    heading around their first occurrence or the document (`contains`), relation patterns whose two ends are entities of
+    the document, and entities that share sentences (`co-occurrence`, at most 5). An edge that comes several times
+    keeps its greatest weight. Documents without text give their node alone; null doc_ids are left out.
+    """
+    from quillgraph.functions.text import is_garbage_entity
+    from quillgraph.operators import terms as tm
+
+    d = documents.where("doc_id is not null").select("doc_id", "doc_name", "text", "raw_text")
+    body = d.withColumn("text", F.coalesce(F.when(F.col("text") != "", F.col("text")), "raw_text")).where("text <> ''")
+    counts = materialize(tm.token_counts(body, "doc_id", "text", terms), "graph-counts")
+    idf = tm.idf(counts, max(1, body.count()))
+    words = tm.keywords(counts, "doc_id", terms, stop_words, top * 2, idf).where(~is_garbage_entity(F.col("word"), stop_words)).select("doc_id", F.col("word").alias("content"), "score")
+    lower = body.select("doc_id", F.explode(tk.paragraphs(F.lower("text"))).alias("p"))
+    ents = materialize(entity_scores(lower, words, top), "graph-entities")
+    name = lambda kind, *c: F.concat_ws("_", F.lit(kind), *[x if isinstance(x, Column) else F.col(x) for x in c])
+    ent_id = name("e", "doc_id", F.substring(F.sha2("content", 256), 1, 16))
+    entity_nodes = ents.select(ent_id.alias("node_id"), "doc_id", F.lit("entity").alias("node_type"), "content", F.col("total").alias("weight"))
+    h = latest(headings.select("heading_id", "doc_id", "title", "heading_level", "start_pos", "end_pos", "ingested_at"), "heading_id", "ingested_at")
+    h = materialize(h.join(d.select("doc_id").distinct(), "doc_id", "left_semi"), "graph-headings")
+    heading_nodes = h.select(F.col("heading_id").alias("node_id"), "doc_id", F.lit("heading").alias("node_type"), F.col("title").alias("content"), (5 - F.coalesce("heading_level", F.lit(3))).cast("double").alias("weight"))
+    doc_nodes = d.groupBy("doc_id").agg(F.min("doc_name").alias("content")).select(name("doc", "doc_id").alias("node_id"), "doc_id", F.lit("document").alias("node_type"), "content", F.lit(1.0).alias("weight"))
+    nodes = doc_nodes.unionByName(heading_nodes).unionByName(entity_nodes)
+
+    parents = heading_links(headings).groupBy("child").agg(F.min("parent").alias("parent"))
+    tree = h.join(parents, F.col("heading_id") == F.col("child"), "left").select(F.coalesce("parent", name("doc", "doc_id")).alias("from_id"), F.col("heading_id").alias("to_id"), F.lit("hierarchy").alias("edge_type"), F.lit(HIERARCHY_WEIGHT).alias("weight"))
+    around = entity_headings(ents, d.select("doc_id", F.lower("raw_text").alias("raw_text")), h)
+    held = ents.select("doc_id", "content").join(around.select("doc_id", "content", "heading_id"), ["doc_id", "content"], "left")
+    held = held.select(F.coalesce("heading_id", name("doc", "doc_id")).alias("from_id"), ent_id.alias("to_id"), F.lit("contains").alias("edge_type"), F.lit(CONTAINS_WEIGHT).alias("weight"))
+    own = ents.select("doc_id", "content", ent_id.alias("id"))
+    clauses = body.select("doc_id", F.explode(tk.clauses(F.lower("text"))).alias("clause")).where("length(clause) >= 10")
+    rel = g.pattern_relations(clauses, "clause", "doc_id")
+    rel = rel.join(own.select("doc_id", F.col("content").alias("src"), F.col("id").alias("from_id")), ["doc_id", "src"]).join(own.select("doc_id", F.col("content").alias("dst"), F.col("id").alias("to_id")), ["doc_id", "dst"])
+    rel = rel.select("from_id", "to_id", F.col("kind").alias("edge_type"), "weight")
+    said = body.select("doc_id", F.posexplode(tk.sentences(F.lower("text"))).alias("ord", "s"))
+    said = said.select("doc_id", "ord", F.explode(F.array_distinct(tk.dict_tokens(F.col("s"), terms))).alias("content")).join(own, ["doc_id", "content"])
+    both = g.cooccurrence(said.select(F.concat_ws("/", "doc_id", "ord").alias("unit"), "id"), "unit", "id")
+    both = both.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit("co-occurrence").alias("edge_type"), F.col("weight").cast("double").alias("weight"))
+    edges = tree.unionByName(held).unionByName(rel).unionByName(both).groupBy("from_id", "to_id", "edge_type").agg(F.max("weight").alias("weight"))
+    return nodes, edges

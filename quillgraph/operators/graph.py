@@ -238,15 +238,15 @@ RELATION_FORMS = [
 ]
 
 
-def pattern_relations(clauses: DataFrame, clause: str) -> DataFrame:
-    """src, dst, kind, weight, n: ends found by the first match of each form in every clause, counted over all."""
+def pattern_relations(clauses: DataFrame, clause: str, *keys: str) -> DataFrame:
+    """[keys,] src, dst, kind, weight, n: ends found by the first match of each form in every clause, counted over all."""
     none = F.array().cast("array<struct<src:string,dst:string,kind:string,weight:double>>")
     found = [
         F.when(F.col(clause).rlike(guard), F.array(*[F.struct(F.regexp_extract(clause, p, a).alias("src"), F.regexp_extract(clause, p, b).alias("dst"), F.lit(k).alias("kind"), F.lit(w).alias("weight")) for a, b, k, w in ends])).otherwise(none)
         for guard, (p, ends) in zip(RELATION_GUARDS, RELATION_FORMS)
     ]
-    r = clauses.select(F.explode(F.concat(*found)).alias("r")).select("r.*").where("src <> '' and dst <> '' and src <> dst")
-    return r.groupBy("src", "dst", "kind").agg(F.max("weight").alias("weight"), F.count("*").alias("n"))
+    r = clauses.select(*keys, F.explode(F.concat(*found)).alias("r")).select(*keys, "r.*").where("src <> '' and dst <> '' and src <> dst")
+    return r.groupBy(*keys, "src", "dst", "kind").agg(F.max("weight").alias("weight"), F.count("*").alias("n"))
 
 
 def cooccurrence(units: DataFrame, unit: str, entity: str, most: int = 10, cap: int = 5) -> DataFrame:

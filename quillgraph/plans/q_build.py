@@ -226,6 +226,13 @@ def content_fallback(spark, d):
     return ck.content_or_sections(table(spark, d, "documents").select("doc_id", "raw_text"), secs).select("doc_id", F.md5("content").alias("digest"))
 
 
+def document_graph(spark, d):
+    """Nodes and edges by kind of the graph built from all documents alone."""
+    n, e = b.document_graph(table(spark, d, "documents"), table(spark, d, "headings"), _terms(spark, d), qx.STOP)
+    kinds = lambda df, what, k: df.groupBy(F.lit(what).alias("what"), F.col(k).alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+    return kinds(n, "node", "node_type").unionByName(kinds(e, "edge", "edge_type"))
+
+
 def question_sentences(spark, d):
     """The five sentences of its document nearest to every line that begins like a question."""
     from quillgraph.operators.matching import question_sentences as nearest
@@ -243,7 +250,7 @@ def heading_outline(spark, d):
     return outline(table(spark, d, "documents").select("doc_id", "raw_text")).select("doc_id", "ord", "level", "title", "start_pos", "end_pos", "parent")
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (heading_graph, entity_scores, entity_headings, section_links, node_display, graph_report, doc_keywords, doc_relevance, cross_links, new_links, merged_concepts, graph_score, neighbourhood, node_groups, structural_graph, visible_tree, idea_checks, idea_cycles, idea_subtrees, idea_edges, project_names, free_names, matched_keywords, embedding_cache, cjk_grams, chunk_cleanup, overlap_chunks, heading_chunks, exam_papers, textbook_sections, exam_questions, first_terms, context_lines, content_fallback, question_sentences, heading_outline)}
+QUERIES = {f"q_{f.__name__}": f for f in (heading_graph, entity_scores, entity_headings, section_links, node_display, graph_report, doc_keywords, doc_relevance, cross_links, new_links, merged_concepts, graph_score, neighbourhood, node_groups, structural_graph, visible_tree, idea_checks, idea_cycles, idea_subtrees, idea_edges, project_names, free_names, matched_keywords, embedding_cache, cjk_grams, chunk_cleanup, overlap_chunks, heading_chunks, exam_papers, textbook_sections, exam_questions, first_terms, context_lines, content_fallback, question_sentences, document_graph, heading_outline)}
 
 # -- SQL ---------------------------------------------------------------------------------------------
 _TREE = qg.ORACLES["q_heading_tree"]

@@ -197,3 +197,19 @@ def test_mojibake_and_ghosts(spark):
     df = spark.createDataFrame([(bad, "光光光的的的 heatheat 波动波动波动波动"), (None, None), ("é", "")], "t string, g string")
     got = df.select(tx.fix_mojibake(F.col("t")), tx.fold_ghosts(F.col("g"))).collect()
     assert [r[0] for r in got] == ["电场 law 中", None, "é"] and got[0][1] == "光的 heat 波动"
+
+
+def test_document_graph(spark):
+    text = "harmonic field theory is a long first paragraph of this text about the field.\n\nentropy grows whenever the harmonic field is weak in this second paragraph.\n\n折射定律是光学的基础内容和重要的部分，折射定律与反射现象的关系需要说明清楚。反射现象，也很常见的内容。"
+    docs = spark.createDataFrame([(1, "a.pdf", text, "[fs18]Fields\n" + text), (2, "b.pdf", "", None), (3, "c.pdf", None, None), (None, "d.pdf", text, None)], "doc_id bigint, doc_name string, text string, raw_text string")
+    heads = spark.createDataFrame([("h1", 1, 0, 1, "[fs18]Fields", 0, 500, None, TS), ("h9", 9, 0, 1, "x", 0, 5, None, TS)], "heading_id string, doc_id bigint, ord int, heading_level int, title string, start_pos bigint, end_pos bigint, children array<string>, ingested_at timestamp")
+    n, e = build.document_graph(docs, heads, ["harmonic field", "entropy", "折射定律", "反射现象"], ["the"])
+    nodes = n.collect()
+    assert {r["node_id"] for r in nodes if r["node_type"] != "entity"} == {"doc_1", "doc_2", "doc_3", "h1"}
+    names = {r["content"]: r["node_id"] for r in nodes if r["node_type"] == "entity"}
+    assert {"harmonic field", "entropy", "折射定律", "反射现象"} <= set(names) and not any("fs18" in (r["content"] or "") for r in nodes if r["node_type"] == "entity")
+    edges = {(r["from_id"], r["to_id"], r["edge_type"]) for r in e.collect()}
+    assert ("doc_1", "h1", "hierarchy") in edges and ("h1", names["entropy"], "contains") in edges
+    assert any(k == "co-occurrence" for _, _, k in edges) and any(k == "relates" for _, _, k in edges)
+    ids = {r["node_id"] for r in nodes}
+    assert all(a in ids and b in ids for a, b, _ in edges)
