@@ -296,7 +296,9 @@ class Page:
                 else:
                     line, glue = stem[:-1] + "-", ""
             elif cjk:
-                glue = ""
+                # a blank that the line was cut at stays; two and more are an indent
+                raw, nxt = self.lines[i].rstrip("\r"), self.lines[solid[n + 1]].lstrip("\f") if n + 1 < len(solid) else ""
+                glue = " " if raw.endswith(" ") or nxt[:1] == " " and nxt[1:2] not in (" ", "　") else ""
             last = i in self.ends and not (m and w) or n + 1 == len(solid)
             para += [line] if last else [line, glue]
             length += len(line) + (0 if last else len(glue))
