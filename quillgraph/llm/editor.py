@@ -467,7 +467,7 @@ class Lesson:
             words |= {left, right, left + right, f"{left}-{right}"}
         return words | {w.lower() for w in words}, {t for t, _ in self.chars}
 
-    def train(self, inventory: Inventory, look: Lookup, epochs: int = 3) -> dict[str, float]:
+    def train(self, inventory: Inventory, look: Lookup, epochs: int = 2) -> dict[str, float]:
         """Weights of an editor; a hidden word is unknown while it is learned, so that unknown words are kept too."""
         ed = Editor(inventory)
         paths: dict[tuple[str, bool], list] = {}

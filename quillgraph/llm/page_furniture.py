@@ -464,7 +464,7 @@ def set_pages(paragraphs: list[str], title: str, rng: random.Random) -> tuple[li
     return lines, truth, ends, ({fold(notice)} if rng.random() < 0.8 else set())
 
 
-def train_layout(texts: list[str], seed: int, pages_of: int = 800, epochs: int = 3) -> dict[str, float]:
+def train_layout(texts: list[str], seed: int, pages_of: int = 700, epochs: int = 2) -> dict[str, float]:
     """Weights learned on `pages_of` texts set on pages from the paragraphs of clean ones; without texts none are learned."""
     rng = random.Random(seed)
     paras = [[p.strip() for p in t.split("\n") if len(p.strip()) > 20] for t in texts]
