@@ -68,7 +68,8 @@ def doc_relevance(spark, d):
     """Documents whose id is divisible by 50 against all that share a keyword of their headings and entities."""
     src = table(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id")
     r = b.document_relevance(_nodes(spark, d), src, _terms(spark, d))
-    return r.select("doc_a", "doc_b", *[F.round(c, 6).alias(c) for c in ("jaccard", "name_sim", "relevance")])
+    # halves of the last place are moved up before rounding, so that both engines round them alike
+    return r.select("doc_a", "doc_b", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("jaccard", "name_sim", "relevance")])
 
 
 def cross_links(spark, d):
@@ -268,7 +269,7 @@ ORACLES = {
     "q_node_display": f"with pr as ({qg.ORACLES['q_pagerank']}), m as (select max(rank) most from pr) select node_id, round(8 + 22 * case when most > 0 then rank / most else 0.0 end, 4) size, case when most > 0 then rank / most else 0.0 end > 0.5 is_hub from pr, m",
     "q_graph_report": f"with {_NV}, {_E}, a as (select count(*) n_nodes, count(distinct node_type) n_types from nodes), x as (select count(*) n_edges from e), i as (select count(*) isolated from nodes where node_id not in (select from_id from e union select to_id from e)) select n_nodes, n_edges, round(2 * n_edges / greatest(n_nodes, 1), 2) avg_degree, n_types, isolated from a, x, i",
     "q_doc_keywords": f"with {_NV}, {_LK} select doc_id, count(*) n, min(keyword) first, max(keyword) last from dk group by 1",
-    "q_doc_relevance": f"with {_DICT}, {_NV}, {_LK}, sz as (select doc_id, count(*) n from dk group by 1), bo as (select least(x.doc_id, y.doc_id) a, greatest(x.doc_id, y.doc_id) b, count(distinct x.keyword) k from dk x join dk y using (keyword) where x.doc_id % 50 = 0 and x.doc_id <> y.doc_id group by 1, 2), nm as (select doc_id, min(content) nm from nodes where node_type = 'document' and doc_id is not null group by 1), tt as (select doc_id, list(distinct token) t from {_dict_tokens('nm', 'nm', 'doc_id')} group by 1), p as (select a doc_a, b doc_b, k / (x.n + y.n - k) jaccard, coalesce(p.nm, '') na, coalesce(q.nm, '') nb, coalesce(ta.t, []) ta, coalesce(tb.t, []) tb from bo join sz x on x.doc_id = a join sz y on y.doc_id = b left join nm p on p.doc_id = a left join nm q on q.doc_id = b left join tt ta on ta.doc_id = a left join tt tb on tb.doc_id = b), s as (select doc_a, doc_b, jaccard, {_tsim('na', 'nb', 'ta', 'tb')} name_sim from p) select doc_a, doc_b, round(jaccard, 6) jaccard, round(name_sim, 6) name_sim, round(case when name_sim >= 0.6 then greatest(0.8, name_sim) else least(1.0, 0.9 * jaccard + 0.3 * name_sim) end, 6) relevance from s",
+    "q_doc_relevance": f"with {_DICT}, {_NV}, {_LK}, sz as (select doc_id, count(*) n from dk group by 1), bo as (select least(x.doc_id, y.doc_id) a, greatest(x.doc_id, y.doc_id) b, count(distinct x.keyword) k from dk x join dk y using (keyword) where x.doc_id % 50 = 0 and x.doc_id <> y.doc_id group by 1, 2), nm as (select doc_id, min(content) nm from nodes where node_type = 'document' and doc_id is not null group by 1), tt as (select doc_id, list(distinct token) t from {_dict_tokens('nm', 'nm', 'doc_id')} group by 1), p as (select a doc_a, b doc_b, k / (x.n + y.n - k) jaccard, coalesce(p.nm, '') na, coalesce(q.nm, '') nb, coalesce(ta.t, []) ta, coalesce(tb.t, []) tb from bo join sz x on x.doc_id = a join sz y on y.doc_id = b left join nm p on p.doc_id = a left join nm q on q.doc_id = b left join tt ta on ta.doc_id = a left join tt tb on tb.doc_id = b), s as (select doc_a, doc_b, jaccard, {_tsim('na', 'nb', 'ta', 'tb')} name_sim from p) select doc_a, doc_b, round(jaccard + 1e-9, 6) jaccard, round(name_sim + 1e-9, 6) name_sim, round(case when name_sim >= 0.6 then greatest(0.8, name_sim) else least(1.0, 0.9 * jaccard + 0.3 * name_sim) end + 1e-9, 6) relevance from s",
     "q_new_links": f"with {_NV}, mx as (select max(ingested_at) m from graph_edges), kk as (select *, case when edge_type in ({qg._UND}) then least(from_id, to_id) || '|' || greatest(from_id, to_id) else from_id || '|' || to_id end || '|' || edge_type k from graph_edges where from_id is not null and to_id is not null and edge_type is not null), nw as (select k, arg_min(from_id, (ingested_at, from_id, to_id)) from_id, arg_min(to_id, (ingested_at, from_id, to_id)) to_id, any_value(edge_type) edge_type from kk, mx where ingested_at > m - interval 90 days group by 1) select from_id, to_id, edge_type from nw where k not in (select k from kk, mx where ingested_at <= m - interval 90 days) and edge_type in ({qg._TYPES}) and from_id in (select node_id from nodes) and to_id in (select node_id from nodes)",
     "q_graph_score": f"with pr as ({{PPR}}), {_A}, sd as (select src s from adj group by 1 order by count(*) desc, src limit 1), one as (select distinct dst x from adj where src = (select s from sd)), n1 as (select count(*) n1 from adj where src = (select s from sd)), n2 as (select src node_id, count(*) n2 from adj group by 1), cm as (select src node_id, count(*) common from adj where dst in (select x from one) group by 1), o as (select pr.node_id, rank, coalesce(n2, 0) n2, coalesce(common, 0) common, n1 from pr left join n2 using (node_id) left join cm using (node_id), n1) select node_id, common, round(case when node_id = (select s from sd) then 1.0 else 0.5 * case when n1 + n2 - common > 0 then common / (n1 + n2 - common) else 0.0 end + least(10 * rank, 0.5) end, 6) score from o",
     "q_neighbourhood": f"with {_NV} select distinct node_id, neighbour from (select from_id node_id, to_id neighbour from graph_edges union all select to_id, from_id from graph_edges) where node_id is not null and neighbour is not null and node_id in (select node_id from nodes where node_type = 'idea')",
