@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillgraph.functions import tokens as tk
-from quillgraph.operators import nearest
+from quillgraph.operators import matching, nearest
 
 
 def _docs(n):
@@ -37,6 +37,14 @@ def test_nearest_makes_no_pairs(spark, monkeypatch):
         assert {(r.query_id, r.id, r["rank"]) for r in got.collect()} == want
 
 
+def test_hybrid_layers_add_up(spark):
+    d = spark.createDataFrame([(1, "aa bb"), (2, "aa cc"), (3, "dd")], "id bigint, text string")
+    graph = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9)], "query_id bigint, id bigint, score double")
+    got = {r.id: r for r in matching.hybrid(d, d.where("id = 1"), "id", "text", [], graph=graph).collect()}
+    assert set(got) == {1, 2} and got[2].graph == 0.5 and got[1].graph == 0
+    assert abs(got[2].score - (0.2 * got[2].keyword + 0.3 * got[2].tfidf + 0.3 * got[2].semantic + 0.1)) < 1e-12 and abs(got[2].keyword - 1 / 3) < 1e-12
+
+
 def test_dictionary_pattern_of_many_terms(spark):
     words = [chr(97 + i) + chr(97 + j) + x for i in range(26) for j in range(0, 26, 5) for x in ("", "-x", "^]")] + ["引力", "引力波", "+["]
     text = "aaaf-xzz引力波af^]+[ Aa 引力学说"
