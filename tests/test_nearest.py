@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillgraph.functions import tokens as tk
-from quillgraph.operators import matching, nearest
+from quillgraph.operators import matching, nearest, terms
 
 
 def _docs(n):
@@ -45,6 +45,14 @@ def test_hybrid_layers_add_up(spark):
     assert abs(got[2].score - (0.2 * got[2].keyword + 0.3 * got[2].tfidf + 0.3 * got[2].semantic + 0.1)) < 1e-12 and abs(got[2].keyword - 1 / 3) < 1e-12
 
 
+def test_window_pairs_need_no_join(spark):
+    rows = [(["a", "b", "a", "c", "d", "e"],), (["a"],), ([],), (["d", "d"],)]
+    got = terms.window_pairs(spark.createDataFrame(rows, "tokens array<string>").repartition(2), "tokens", 2)
+    want = Counter((u[i], u[j]) for (u,) in rows for i in range(len(u)) for j in range(len(u)) if i != j and abs(i - j) <= 2)
+    assert {(r.a, r.b): r.n for r in got.collect()} == want
+    assert "Join" not in _plan(got)
+
+
 def test_dictionary_pattern_of_many_terms(spark):
     words = [chr(97 + i) + chr(97 + j) + x for i in range(26) for j in range(0, 26, 5) for x in ("", "-x", "^]")] + ["引力", "引力波", "+["]
     text = "aaaf-xzz引力波af^]+[ Aa 引力学说"
