@@ -58,3 +58,16 @@ def test_dictionary_pattern_of_many_terms(spark):
     text = "aaaf-xzz引力波af^]+[ Aa 引力学说"
     got = spark.createDataFrame([(text,)], "t string").select(tk.dict_tokens(F.col("t"), words)).first()[0]
     assert got == ["aa", "af-x", "zz", "引力波", "af^]", "+[", "aa", "引力"]
+
+
+def test_candidates_of_many_equal_items(spark):
+    """Items of the same keys are joined once; the k best are those of all pairs, in one pass or several."""
+    texts = ["aa", "aa bb", "bb cc", "引力波", "引力", "", "dd"]
+    q = spark.createDataFrame([(f"q{k}", x) for k, x in enumerate([*texts, "aa bb cc 引力", "nothing"])], "q string, text string")
+    i = spark.createDataFrame([(f"i{k:02}", texts[k % len(texts)]) for k in range(60)], "i string, text string")
+    keys = lambda df: {r[0]: set(r[1]) for r in df.select(df.columns[0], matching.index_tokens(F.col("text"), [])).collect()}
+    a, b = keys(q), keys(i)
+    want = {(x, y, len(a[x] & b[y])) for x in a for y in sorted((y for y in b if a[x] & b[y]), key=lambda y: (-len(a[x] & b[y]), y))[:5]}
+    assert {tuple(r) for r in matching.index_candidates(q, i, "q", "i", "text", [], 5).collect()} == want
+    side = lambda df: df.select(df.columns[0], matching.index_tokens(F.col("text"), []).alias("keys"))
+    assert {tuple(r) for r in nearest.most_shared(side(q), side(i), "q", "i", 5, 2).collect()} == want
