@@ -71,3 +71,11 @@ def test_candidates_of_many_equal_items(spark):
     assert {tuple(r) for r in matching.index_candidates(q, i, "q", "i", "text", [], 5).collect()} == want
     side = lambda df: df.select(df.columns[0], matching.index_tokens(F.col("text"), []).alias("keys"))
     assert {tuple(r) for r in nearest.most_shared(side(q), side(i), "q", "i", 5, 2).collect()} == want
+
+
+def test_sentences_of_questions_write_no_grams(spark):
+    q = spark.createDataFrame([(1, 0, "引力波方程是什么 wave"), (2, 3, "none here")], "doc_id bigint, question int, text string")
+    s = spark.createDataFrame([(1, 0, "引力波方程很美"), (1, 1, "wave motion"), (1, 2, "other words"), (3, 0, "wave")], "doc_id bigint, ord int, text string")
+    got = matching.question_sentences(q, s, ["is"])
+    assert [(r.doc_id, r.question, r.ord, r["rank"]) for r in got.orderBy("rank").collect()] == [(1, 0, 0, 1), (1, 0, 1, 2)]
+    assert "Join" not in _plan(got)
