@@ -51,3 +51,21 @@ def test_merging_does_not_pair_all_places_of_a_content(spark):
     edges = spark.createDataFrame([], "from_id string, to_id string, edge_type string, weight double, link_method string, ingested_at timestamp")
     merged = build.merge_concepts(nodes, edges, ["energy"])[2]
     assert merged.count() == 40_001 and [r[0] for r in merged.select("into").distinct().collect()] == ["a0"]
+
+
+def test_relevant_documents_and_their_links(spark):
+    """All pairs from a relevance on, and the same links as from all pairs, though few pairs are looked into."""
+    r = random.Random(7)
+    words = ["harmonic", "field", "law", "entropy", "resonance", "current", "谐振频率", "振动", "heat", "light"]
+    rows = [(f"d{k}", k, "document", r.choice(["notes", "notes of heat", "谐振频率讲义", "Mechanik"]) + f"_{k % 40}.pdf") for k in range(120) if k % 11]
+    rows += [(f"n{k:04d}", k % 120, "entity", "energy " + " ".join(r.choices(words, k=r.randrange(3)))) for k in range(500)]
+    nodes = spark.createDataFrame(rows, "node_id string, doc_id bigint, node_type string, content string").localCheckpoint()
+    src = spark.range(0, 120, 7).select(F.col("id").alias("doc_id"))
+    every = {(x["doc_a"], x["doc_b"]): x["relevance"] for x in build.document_relevance(nodes, src, []).collect()}
+    for least in (1.0, 0.9, 0.8):
+        got = [(x["doc_a"], x["doc_b"], x["relevance"]) for x in build.document_relevance(nodes, src, [], least).collect()]
+        assert len(got) == len({x[:2] for x in got}) and {x[:2]: x[2] for x in got} == {p: v for p, v in every.items() if round(v, 9) >= least}
+    whole = [tuple(x) for x in build.cross_links(nodes, build.document_relevance(nodes, src, []), [], most=100_000).orderBy("order").collect()]
+    for most in (20, 300):
+        assert [tuple(x) for x in build.best_cross_links(nodes, src, [], most=most).orderBy("order").collect()] == whole[:most]
+    assert len(whole) > 300
