@@ -1,14 +1,20 @@
 """Graph building, ideas, chunking, outlines and replies on small fixtures."""
 
+from collections import defaultdict
 from datetime import datetime as dt
+from functools import partial
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import chunking as ck
 from quillgraph.functions import replies as rp
 from quillgraph.functions import text as tx
+from quillgraph.functions import tokens as tk
 from quillgraph.operators import build, graph, ideas, matching, outline, terms
+from quillgraph.operators import document_pass as dp
+from quillgraph.operators import terms as tm
 from quillgraph.sources import bundles
 
 TS = dt(2024, 1, 1)
@@ -213,3 +219,46 @@ def test_document_graph(spark):
     assert any(k == "co-occurrence" for _, _, k in edges) and any(k == "relates" for _, _, k in edges)
     ids = {r["node_id"] for r in nodes}
     assert all(a in ids and b in ids for a, b, _ in edges)
+
+
+def test_document_graph_longest_entities(spark):
+    """Of a sentence with more than ten entities the ten longest are linked (before: those with the smallest ids)."""
+    terms = [c * k for k, c in enumerate("abcdefghijkl", 4)]
+    docs = spark.createDataFrame([(1, "a", " ".join(terms), None), (2, "b", "another text of nothing else", None)], "doc_id bigint, doc_name string, text string, raw_text string")
+    heads = spark.createDataFrame([], "heading_id string, doc_id bigint, ord int, heading_level int, title string, start_pos bigint, end_pos bigint, children array<string>, ingested_at timestamp")
+    n, e = build.document_graph(docs, heads, terms, [])
+    names = {r["node_id"]: r["content"] for r in n.collect()}
+    linked = [{names[r["from_id"]], names[r["to_id"]]} for r in e.where("edge_type = 'co-occurrence'").collect() if names[r["from_id"]] in terms]
+    assert len(linked) == 45 and set().union(*linked) == set(terms[2:])
+
+
+def test_document_pass(spark):
+    """One pass says what the Column functions and joins say; a document of several rows is one."""
+    terms = ["ph值", "折射定律", "折射", "field", "a; b", "harmonic field", "反射现象"]
+    long = "折射定律与反射现象的关系是光学的内容，PH值 of the Harmonic Field 不同，fields 0x1, 反射现象　"
+    texts = [f"{long}\n \t\n{long}。{long}\n\n {long};{long}\r\n", f"{long}\n{long}", "\n　x\n", "[fs12.5]harm[fs3]onic field; a; b a; b折射反折 [bookmark:L3]", "", f"{long}A\n\x0b\n" * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [dp.paragraphs(t) for t in texts] == [r[0] for r in df.orderBy("doc_id").select(tk.paragraphs(F.col("text"))).collect()]
+    got = df.select("doc_id", tk.dict_matches(F.col("text"), terms).alias("found")).mapInArrow(partial(dp.counted, terms=set(terms)), dp.COUNTS)
+    want = tm.token_counts(df, "doc_id", "text", terms).where(F.col("token").isin(terms) | ~F.col("token").rlike("^[一-龥]{2}$"))
+    assert sorted(got.select("doc_id", "token", "tf").collect()) == sorted(want.select("doc_id", "token", "tf").collect())
+    said = df.select("doc_id", F.posexplode(tk.sentences(F.lower("text"))).alias("ord", "s")).select("doc_id", "ord", F.explode(tk.dict_tokens(F.col("s"), terms)).alias("t")).distinct()
+    places = {t: k for k, t in enumerate([*terms, "harmonic", "fields", "0x1", "of"])}
+    units = []
+    for r in df.select("doc_id", tk.sentence_matches(F.lower("text"), terms).alias("m")).collect():
+        d, into = pa.array(r["m"], pa.string()).dictionary_encode(), defaultdict(set)
+        dp.Matches(d.dictionary.to_pylist(), set(terms)).units(d.indices.to_numpy(), places, into)
+        units += [(r["doc_id"], u, k) for u, ks in into.items() for k in ks]
+    assert sorted(units) == sorted((r["doc_id"], r["ord"], places[r["t"]]) for r in said.collect() if r["t"] in places)
+    heads = spark.createDataFrame([(f"h{d}{k}", d, k, k % 3, "t", s, e, None, TS) for d in (0, 9) for k, (s, e) in enumerate([(0, 400), (3, 9), (60, 200), (60, 90), (100, None)])], "heading_id string, doc_id bigint, ord int, heading_level int, title string, start_pos bigint, end_pos bigint, children array<string>, ingested_at timestamp")
+    rows = [(d if d < 5 else 0, "n", t, "ab" + t) for d, t in enumerate(texts)]
+    n, e = build.document_graph(spark.createDataFrame(rows, "doc_id bigint, doc_name string, text string, raw_text string"), heads, terms, ["of"])
+    ents = {(r["doc_id"], r["content"]): r["node_id"] for r in n.where("node_type = 'entity'").collect()}
+    body = df.select(F.when(F.col("doc_id") < 5, F.col("doc_id")).otherwise(0).alias("doc_id"), F.lower("text").alias("text")).where("text <> ''")
+    around = build.entity_headings(spark.createDataFrame(list(ents), "doc_id bigint, content string"), body.select("doc_id", F.concat(F.lit("ab"), "text").alias("raw_text")), heads)
+    around = {(r["doc_id"], r["content"]): r["heading_id"] for r in around.collect()}
+    assert around and {(r["to_id"], r["from_id"]) for r in e.where("edge_type = 'contains'").collect()} == {(i, around.get(k, f"doc_{k[0]}")) for k, i in ents.items()}
+    rel = graph.pattern_relations(body.select("doc_id", F.explode(tk.clauses(F.col("text"))).alias("c")).where("length(c) >= 10"), "c", "doc_id")
+    rel = {(ents[d, a], ents[d, b], k, w) for d, a, b, k, w, _ in rel.collect() if (d, a) in ents and (d, b) in ents}
+    assert rel and rel == {tuple(r) for r in e.where("edge_type not in ('contains', 'hierarchy', 'co-occurrence')").select("from_id", "to_id", "edge_type", "weight").collect()}
+    assert e.groupBy("from_id", "to_id", "edge_type").count().where("count > 1").isEmpty()
