@@ -1,6 +1,5 @@
 """Graph building, ideas, chunking, outlines and replies on small fixtures."""
 
-from collections import defaultdict
 from datetime import datetime as dt
 from functools import partial
 
@@ -245,10 +244,10 @@ def test_document_pass(spark):
     said = df.select("doc_id", F.posexplode(tk.sentences(F.lower("text"))).alias("ord", "s")).select("doc_id", "ord", F.explode(tk.dict_tokens(F.col("s"), terms)).alias("t")).distinct()
     places = {t: k for k, t in enumerate([*terms, "harmonic", "fields", "0x1", "of"])}
     units = []
-    for r in df.select("doc_id", tk.sentence_matches(F.lower("text"), terms).alias("m")).collect():
-        d, into = pa.array(r["m"], pa.string()).dictionary_encode(), defaultdict(set)
-        dp.Matches(d.dictionary.to_pylist(), set(terms)).units(d.indices.to_numpy(), places, into)
-        units += [(r["doc_id"], u, k) for u, ks in into.items() for k in ks]
+    for r in df.select("doc_id", F.lower("text").alias("low"), tk.sentence_matches(F.lower("text"), terms).alias("m")).collect():
+        d = pa.array(r["m"], pa.string()).dictionary_encode()
+        held = dp.Matches(d.dictionary.to_pylist(), set(terms), {"折射"}).units(r["low"], d.indices.to_numpy(), places)
+        units += [(r["doc_id"], u, k) for u, k in zip(*map(list, held.nonzero()))]
     assert sorted(units) == sorted((r["doc_id"], r["ord"], places[r["t"]]) for r in said.collect() if r["t"] in places)
     heads = spark.createDataFrame([(f"h{d}{k}", d, k, k % 3, "t", s, e, None, TS) for d in (0, 9) for k, (s, e) in enumerate([(0, 400), (3, 9), (60, 200), (60, 90), (100, None)])], "heading_id string, doc_id bigint, ord int, heading_level int, title string, start_pos bigint, end_pos bigint, children array<string>, ingested_at timestamp")
     rows = [(d if d < 5 else 0, "n", t, "ab" + t) for d, t in enumerate(texts)]
